@@ -73,7 +73,7 @@ def feature_columns(chars: Column, words: Column, subwords: Column, length: int)
 def feature_rows(aspects: DataFrame, vocabulary: DataFrame, length: int = SEQUENCE_LENGTH) -> DataFrame:
     """One example per aspect row: id sequences of the conditioned text, mask, label and aspect id."""
     text = aspects.withColumn("_text", conditioned_text(F.col("aspect"), F.col("comment")))
-    encoded = encode(text, "_text", vocabulary)
+    encoded = encode(text, "_text", vocabulary, length=length)
     return encoded.select(
         "review_id",
         aspect_index(F.col("aspect")).alias("aspect_idx"),
@@ -95,11 +95,11 @@ def corpus_features(research: DataFrame, vocabulary: DataFrame, length: int = SE
     and the bracket's few characters are put in front afterwards.
     """
     reviews = research.withColumn("_text", F.coalesce("comment", F.lit("")))
-    cut = encode(reviews, "_text", vocabulary).select(
+    cut = encode(reviews, "_text", vocabulary, length=length).select(
         *research.columns,
-        F.slice(char_ids(char_tokens(F.substring("_text", 1, length))), 1, length).alias("_chars"),
-        F.slice(word_ids(F.slice(word_tokens(F.col("_text")), 1, length)), 1, length).alias("_words"),
-        F.slice("subword_ids", 1, length).alias("_subwords"),
+        char_ids(char_tokens(F.substring("_text", 1, length))).alias("_chars"),
+        word_ids(F.slice(word_tokens(F.col("_text")), 1, length)).alias("_words"),
+        F.col("subword_ids").alias("_subwords"),
     )
     keep = ["review_id", "_chars", "_words", "_subwords"]
     rows = aspect_corpus(cut, keep=keep, **corpus)

@@ -32,7 +32,8 @@ def train_vocabulary(
     Pieces never cross a script run. Longer pieces are ranked by the characters they cover, count times
     length, ties by piece. Every character is kept, so the table exceeds ``size`` if the corpus has more
     characters than that. N-grams are taken from distinct segments weighted by their count, not from every
-    text. The final numbering runs over the characters and at most ``size`` pieces.
+    text. Characters and n-grams read the segments unfiltered, so that one shuffle of them serves both.
+    The final numbering runs over the characters and at most ``size`` pieces.
     """
     counted = segments(texts, column)
     chars = (
@@ -42,8 +43,7 @@ def train_vocabulary(
     )
     grams = F.flatten(F.array(*[_grams(F.col("segment"), k) for k in range(2, max_chars + 1)]))
     longer = (
-        counted.where(F.length("segment") > 1)
-        .select(F.explode(grams).alias("piece"), "n")
+        counted.select(F.explode(grams).alias("piece"), "n")
         .groupBy("piece")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc(F.col("n") * F.length("piece")), "piece")
@@ -70,25 +70,38 @@ def _pieces(vocabulary: DataFrame) -> DataFrame:
 def matcher(vocabulary: DataFrame) -> Column:
     """A regular expression taking the longest known piece, else one character, as a scalar subquery.
 
-    Pieces sharing a first character share a branch, so a position is tested against first characters,
-    the common ones first, and not against every piece.
+    Pieces are grouped by their first and again by their second character, the common ones first, so a
+    position is tested against a few characters and not against every piece.
     """
-    quoted = F.concat(F.lit(r"\Q"), F.substring("piece", F.lit(2), F.length("piece")), F.lit(r"\E"))
-    longest_first = F.array_sort(F.collect_list(F.struct((-F.length("piece")).alias("size"), quoted.alias("rest"))))
-    branches = (
+    tail = F.substring("piece", F.lit(3), F.length("piece"))
+    pairs = (
         _pieces(vocabulary)
         .where(F.length("piece") > 1)
-        .groupBy(F.substring("piece", 1, 1).alias("head"))
-        .agg((-F.sum("n")).alias("use"), longest_first.alias("tails"))
-        .select(
-            "use",
-            F.concat(
-                "head", F.lit("(?:"), F.array_join(F.transform("tails", lambda t: t["rest"]), "|"), F.lit(")")
-            ).alias("branch"),
-        )
+        .groupBy(F.substring("piece", 1, 1).alias("first"), F.substring("piece", 2, 1).alias("second"))
+        .agg((-F.sum("n")).alias("use"), _ordered((-F.length("piece")).alias("use"), _quoted(tail)).alias("tails"))
+        .select("first", "use", _branch("second", "tails").alias("branch"))
     )
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("use", "branch"))), lambda b: b["branch"])
-    return branches.agg(F.array_join(F.concat(ordered, F.array(F.lit(ANY_CHARACTER))), "|")).scalar()
+    firsts = (
+        pairs.groupBy("first")
+        .agg(F.sum("use").alias("use"), _ordered(F.col("use"), F.col("branch")).alias("seconds"))
+        .select("use", _branch("first", "seconds").alias("branch"))
+    )
+    one_of = F.array_join(F.concat(_ordered(F.col("use"), F.col("branch")), F.array(F.lit(ANY_CHARACTER))), "|")
+    return firsts.agg(one_of).scalar()
+
+
+def _quoted(text: Column) -> Column:
+    return F.when(text == "", "").otherwise(F.concat(F.lit(r"\Q"), text, F.lit(r"\E")))
+
+
+def _ordered(use: Column, pattern: Column) -> Column:
+    """Patterns of a group by ascending ``use``; groups are bounded by the vocabulary size."""
+    gathered = F.array_sort(F.collect_list(F.struct(use, pattern.alias("pattern"))))
+    return F.transform(gathered, lambda g: g["pattern"])
+
+
+def _branch(head: str, patterns: str) -> Column:
+    return F.concat(head, F.lit("(?:"), F.array_join(patterns, "|"), F.lit(")"))
 
 
 def id_table(vocabulary: DataFrame, slots: int = LOOKUP_SLOTS) -> Column:
@@ -110,16 +123,19 @@ def _slot(piece: Column, slots: int) -> Column:
     return F.pmod(F.hash(piece), F.lit(slots))
 
 
-def encode(df: DataFrame, column: str, vocabulary: DataFrame, prefix: str = "subword") -> DataFrame:
+def encode(
+    df: DataFrame, column: str, vocabulary: DataFrame, prefix: str = "subword", length: int | None = None
+) -> DataFrame:
     """Add ``<prefix>_pieces`` and ``<prefix>_ids``: greedy longest match, unknown characters get the unknown id.
 
-    The pieces of a text joined together are the text. The vocabulary is bounded by construction and
-    should be a stored table, since it is read by two subqueries.
+    The pieces of a text joined together are the text. With ``length``, ids are looked up for the leading
+    pieces only. The vocabulary is bounded by construction and should be a stored table, since two
+    subqueries read it.
     """
     table, pieces = f"_{prefix}_table", f"{prefix}_pieces"
     matched = df.withColumn(pieces, F.regexp_extract_all(F.col(column), matcher(vocabulary), F.lit(0)))
     looked_up = F.transform(
-        pieces,
+        F.col(pieces) if length is None else F.slice(pieces, 1, length),
         lambda p: F.coalesce(F.try_element_at(F.get(table, _slot(p, LOOKUP_SLOTS)), p), F.lit(UNKNOWN_ID)),
     )
     return matched.withColumn(table, id_table(vocabulary)).withColumn(f"{prefix}_ids", looked_up).drop(table)

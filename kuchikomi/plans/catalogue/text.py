@@ -172,8 +172,8 @@ conditioned as (
 @query(
     "G9 (characters, words) G3 P19 P20",
     f"""
-    , texts as (select distinct comment, {_char_ids('comment')}[1:{LENGTH}] as chars,
-                       {_word_ids('comment')}[1:{LENGTH}] as words from conditioned)
+    , texts as (select comment, {_char_ids('comment')}[1:{LENGTH}] as chars, {_word_ids('comment')}[1:{LENGTH}] as words
+                from (select distinct comment from conditioned))
     select review_id, aspect_idx, label,
            {_pad_sql(f"list_concat({_char_ids('bracket')}, chars)")} as char_ids,
            {_pad_sql(f"list_concat({_word_ids('bracket')}, words)")} as word_ids
@@ -194,14 +194,13 @@ def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "G9 (subwords, mask) G7",
     f"""
-    , text_pieces as (
+    , distinct_texts as (select distinct comment as text from conditioned union select distinct bracket from conditioned),
+    text_pieces as (
       select text, unnest(pieces) as piece, generate_subscripts(pieces, 1) as place
-      from (select distinct text, regexp_extract_all(text, pattern) as pieces
-            from (select comment as text from conditioned union all select bracket from conditioned) cross join matcher)),
+      from (select text, regexp_extract_all(text, pattern)[1:{LENGTH}] as pieces from distinct_texts cross join matcher)),
     text_ids as (
       select text, list(coalesce(v.id, 1) order by place) as ids
-      from text_pieces p left join vocabulary v on v.piece = p.piece and v.id > 3
-      where place <= {LENGTH} group by text)
+      from text_pieces p left join vocabulary v on v.piece = p.piece and v.id > 3 group by text)
     select review_id, aspect_idx, {_pad_sql('list_concat(b.ids, t.ids)')} as subword_ids,
            least(len(b.ids) + len(t.ids), {LENGTH}) as attended
     from conditioned c join text_ids b on b.text = c.bracket join text_ids t on t.text = c.comment""",

@@ -15,13 +15,19 @@ from kuchikomi.functions.tokens import SEGMENT, WORD
 from kuchikomi.operators.corpus import aspect_corpus, flatten_scores, unpivot_aspects, with_sentiment
 from kuchikomi.operators.vocabulary import MAX_PIECE_CHARS, train_vocabulary
 from kuchikomi.session import fresh_path, prepare
+from kuchikomi.sources.layout import spread
 from kuchikomi.sources.sinks import write_parquet
 
 NAMELESS_HOTEL = 24
 
 
+# Key columns by which tables stored in a single piece are spread over the cores.
+SPREAD_BY = {"orders": "o_orderkey", "documents": "doc_id", "lineitem": "l_orderkey", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    stored = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(stored, SPREAD_BY[name]) if name in SPREAD_BY else stored
 
 
 # --- reviews: one per order, hotels are nations, comments are documents -----------------------------

@@ -1,0 +1,18 @@
+"""Partitioning of inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input stored in fewer pieces than there are cores.
+
+    A single-row-group file is read by one task, and everything up to the next shuffle then runs in that
+    task. Only such small inputs are redistributed; a scan that already gives every core a task, as any
+    large table does, is returned unchanged and pays no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)

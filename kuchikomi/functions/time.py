@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 def parse_strict(text: Column) -> Column:
     """ISO text with offset to an instant; a malformed value fails the job, null stays null."""
-    parsed = text.try_cast("timestamp")
     broken = F.raise_error(F.concat(F.lit("not a timestamp: "), text)).cast("timestamp")
-    return F.when(parsed.isNull() & text.isNotNull(), broken).otherwise(parsed)
+    return F.coalesce(text.try_cast("timestamp"), F.when(text.isNotNull(), broken))
 
 
 def parse_lenient(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kuchikomi.domain import SEQUENCE_LENGTH
@@ -33,14 +33,22 @@ def token_statistics(df: DataFrame, column: str, vocabulary: DataFrame) -> DataF
     counts = token_counts(df.select(column), column, vocabulary).where(F.col(column).isNotNull())
     long = counts.select(*GRANULARITIES).unpivot([], list(GRANULARITIES), "granularity", "tokens")
     histogram = long.groupBy("granularity", "tokens").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum(F.col("tokens") * F.col("n"))
-    characters = histogram.where(F.col("granularity") == GRANULARITIES[0]).agg(total).scalar()
-    return histogram.groupBy("granularity").agg(
-        (total / F.sum("n")).alias("mean_tokens"),
+    summary = histogram.groupBy("granularity").agg(
+        F.sum(F.col("tokens") * F.col("n")).alias("total"),
+        F.sum("n").alias("texts"),
         F.percentile("tokens", F.lit(0.5), F.col("n")).alias("median_tokens"),
         F.min("tokens").alias("min_tokens"),
         F.max("tokens").alias("max_tokens"),
-        F.try_divide(total, characters).alias("tokens_per_character"),
+    )
+    # A window over one row per granularity.
+    characters = F.max(F.when(F.col("granularity") == GRANULARITIES[0], F.col("total"))).over(Window.partitionBy())
+    return summary.select(
+        "granularity",
+        (F.col("total") / F.col("texts")).alias("mean_tokens"),
+        "median_tokens",
+        "min_tokens",
+        "max_tokens",
+        F.try_divide("total", characters).alias("tokens_per_character"),
     )
 
 

@@ -29,8 +29,12 @@ def class_draws(df: DataFrame, label: str, seed: int = SEED, draws: int | None =
     """
     spark = df.sparkSession
     sizes = frequencies(df, label)
-    classes = sizes.agg(F.array_sort(F.collect_list(F.struct(F.col(label), F.col("n"))))).scalar()
-    total = sizes.agg(F.sum("n")).scalar()
+    known = sizes.agg(
+        F.struct(
+            F.array_sort(F.collect_list(F.struct(F.col(label), F.col("n")))).alias("classes"), F.sum("n").alias("total")
+        )
+    ).scalar()
+    total = known["total"]
     last = (total if draws is None else F.least(total, F.lit(draws))) - 1
     chunks = spark.range(1).where(last >= 0).select(
         F.explode(F.sequence(F.col("id"), last, F.lit(DRAWS_PER_CHUNK).cast("bigint"))).alias("start")
@@ -38,7 +42,7 @@ def class_draws(df: DataFrame, label: str, seed: int = SEED, draws: int | None =
     ids = chunks.repartition(shuffle_partitions(spark), "start").select(
         F.explode(F.sequence("start", F.least(F.col("start") + (DRAWS_PER_CHUNK - 1), last))).alias("draw_id")
     )
-    hashed = ids.withColumn("_hash", digest(F.lit(seed), F.col("draw_id"))).withColumn("_classes", classes)
+    hashed = ids.withColumn("_hash", digest(F.lit(seed), F.col("draw_id"))).withColumn("_classes", known["classes"])
     index = F.floor(unit_interval(F.col("_hash"), 1) * F.size("_classes")).cast("int")
     chosen = hashed.withColumn("_class", F.get("_classes", index))
     place = F.floor(unit_interval(F.col("_hash"), 14) * F.col("_class.n")) + 1

@@ -9,9 +9,12 @@ from kuchikomi.domain import MIN_GROUP_REVIEWS
 from kuchikomi.functions.time import month_of, month_start, parse_strict
 
 
-def with_month(aspects: DataFrame) -> DataFrame:
-    """Add the UTC calendar month of ``post_datetime``; a malformed time fails the job."""
-    return aspects.withColumn("year_month", month_of(parse_strict(F.col("post_datetime"))))
+def with_month(rows: DataFrame) -> DataFrame:
+    """Add the UTC calendar month of ``post_datetime``; a malformed time fails the job.
+
+    Taken on reviews, before the unpivot, it is computed once instead of once per aspect.
+    """
+    return rows.withColumn("year_month", month_of(parse_strict(F.col("post_datetime"))))
 
 
 def trend(aspects: DataFrame, by: tuple[str, ...] = (), min_reviews: int = MIN_GROUP_REVIEWS) -> DataFrame:
@@ -22,9 +25,14 @@ def trend(aspects: DataFrame, by: tuple[str, ...] = (), min_reviews: int = MIN_G
     groups are as long as the calendar, whatever the number of reviews.
     """
     keys = [*by, "year_month", "aspect"]
+    if "year_month" not in aspects.columns:
+        # A strictly parsed time is null only where the text is, so the text is tested instead.
+        aspects = with_month(aspects.where(F.col("post_datetime").isNotNull()))
+        tested = [*by, "aspect"]
+    else:
+        tested = keys
     grouped = (
-        with_month(aspects)
-        .dropna(subset=keys)
+        aspects.dropna(subset=tested)
         .groupBy(*keys)
         .agg(
             F.count("review_id").alias("review_count"),

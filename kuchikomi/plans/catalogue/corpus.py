@@ -90,11 +90,10 @@ def ingest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     (views.REVIEWS_SQL,),
 )
 def aspect_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.in_reading_order(corpus.aspect_corpus(views.reviews(spark, sf_dir, comments=True)))
-    return rows.select(
-        "hotel_id", "hotel_name", "review_id", "post_datetime", char_length(F.col("comment")).alias("comment_chars"),
-        "aspect", "score", "sentiment_label",
-    )
+    reviews = views.reviews(spark, sf_dir, comments=True)
+    measured = reviews.withColumn("comment_chars", char_length(F.col("comment")))
+    keep = ["hotel_id", "hotel_name", "review_id", "post_datetime", "comment_chars"]
+    return corpus.aspect_corpus(measured, keep=keep, ordered=True)
 
 
 @query(

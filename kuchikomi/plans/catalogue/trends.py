@@ -31,12 +31,12 @@ HOTEL_SQL = _trend_sql("hotel_name, ")
 
 @query("A9 W1 F5 P11 P13 T2 (on F2 F3 P6 P8)", "select * from trend", (views.REVIEWS_SQL, GLOBAL_SQL))
 def global_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.in_trend_order(trends.global_trend(views.rated_rows(spark, sf_dir)))
+    return trends.in_trend_order(trends.global_trend(views.rated_rows(spark, sf_dir, months=True)))
 
 
 @query("A10 W2 F5 T2", "select * from trend", (views.REVIEWS_SQL, HOTEL_SQL))
 def hotel_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.in_trend_order(trends.hotel_trend(views.rated_rows(spark, sf_dir)))
+    return trends.in_trend_order(trends.hotel_trend(views.rated_rows(spark, sf_dir, months=True)))
 
 
 _MOVERS = "select * from trend order by score_delta {} nulls last, aspect, year_month limit 3"
@@ -44,12 +44,12 @@ _MOVERS = "select * from trend order by score_delta {} nulls last, aspect, year_
 
 @query("T3", _MOVERS.format("desc"), (views.REVIEWS_SQL, GLOBAL_SQL))
 def top_rises(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.top_movers(trends.global_trend(views.rated_rows(spark, sf_dir)), rises=True)
+    return trends.top_movers(trends.global_trend(views.rated_rows(spark, sf_dir, months=True)), rises=True)
 
 
 @query("T4", _MOVERS.format("asc"), (views.REVIEWS_SQL, GLOBAL_SQL))
 def top_falls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.top_movers(trends.global_trend(views.rated_rows(spark, sf_dir)), rises=False)
+    return trends.top_movers(trends.global_trend(views.rated_rows(spark, sf_dir, months=True)), rises=False)
 
 
 @query(
@@ -58,7 +58,7 @@ def top_falls(spark: SparkSession, sf_dir: str) -> DataFrame:
     (views.REVIEWS_SQL, GLOBAL_SQL),
 )
 def chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = trends.chart_series(trends.global_trend(views.rated_rows(spark, sf_dir)))
+    points = trends.chart_series(trends.global_trend(views.rated_rows(spark, sf_dir, months=True)))
     return points.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 

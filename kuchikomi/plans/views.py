@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kuchikomi.domain import ASPECTS, CONTENTS_MARKER, LIST_MARKER, PAGE_SIZE, SUBWORD_VOCABULARY, TOTAL_MARKER
-from kuchikomi.functions.hashing import hex_number
 from kuchikomi.functions.text import WHITESPACE
 from kuchikomi.functions.tokens import SEGMENT, WORD
 from kuchikomi.operators.corpus import aspect_corpus, flatten_scores, unpivot_aspects, with_sentiment
+from kuchikomi.operators.trends import with_month
 from kuchikomi.operators.vocabulary import MAX_PIECE_CHARS, train_vocabulary
 from kuchikomi.session import fresh_path, prepare
 from kuchikomi.sources.layout import spread
@@ -33,18 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- reviews: one per order, hotels are nations, comments are documents -----------------------------
 
 
+# How many of 100 hash slots get which score; the SQL twin spells the same limits.
+_SCORE_OF_SLOT = (
+    "flatten(array(array_repeat(0D, 10), array_repeat(1D, 2), array_repeat(2D, 2), array_repeat(3D, 12),"
+    " array_repeat(2.5D, 1), array_repeat(cast(null as double), 1), array_repeat(4D, 32), array_repeat(5D, 40)))"
+)
+
+
 def _score(aspect: str) -> Column:
-    slot = hex_number(F.md5(F.concat("review_id", F.lit(f"|{aspect}"))), 1, 8) % 100
-    return (
-        F.when(slot < 10, 0.0)
-        .when(slot < 12, 1.0)
-        .when(slot < 14, 2.0)
-        .when(slot < 26, 3.0)
-        .when(slot < 27, 2.5)
-        .when(slot < 28, F.lit(None).cast("double"))
-        .when(slot < 60, 4.0)
-        .otherwise(5.0)
-    )
+    slot = f"cast(cast(conv(substr(md5(concat(review_id, '|{aspect}')), 1, 8), 16, 10) as bigint) % 100 as int)"
+    return F.expr(f"get({_SCORE_OF_SLOT}, {slot})")
 
 
 def reviews(spark: SparkSession, sf_dir: str, comments: bool = False) -> DataFrame:
@@ -62,14 +60,15 @@ def reviews(spark: SparkSession, sf_dir: str, comments: bool = False) -> DataFra
         joined = joined.join(documents, joined["_doc"] == documents["doc_id"], "left")
     hotel = F.when(F.col("n_nationkey") != NAMELESS_HOTEL, F.col("n_name"))
     posted = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00"))
-    return joined.select(
+    flat = joined.select(
         F.col("n_nationkey").cast("string").alias("hotel_id"),
         F.col("o_orderkey").cast("string").alias("review_id"),
         hotel.alias("hotel_name"),
         *(["comment"] if comments else []),
         posted.alias("post_datetime"),
         F.col("o_orderstatus").alias("status"),
-    ).withColumn("scores", F.create_map(*[part for a in ASPECTS for part in (F.lit(a), _score(a))]))
+    )
+    return flat.withColumn("scores", F.create_map(*[part for a in ASPECTS for part in (F.lit(a), _score(a))]))
 
 
 def aspect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +77,11 @@ def aspect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_sentiment(unpivot_aspects(flat, ["hotel_id", "hotel_name", "review_id", "post_datetime"]))
 
 
-def rated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled aspect corpus without comments."""
-    keep = ["hotel_id", "hotel_name", "review_id", "post_datetime"]
-    return aspect_corpus(reviews(spark, sf_dir), min_chars=None, keep=keep)
+def rated_rows(spark: SparkSession, sf_dir: str, months: bool = False) -> DataFrame:
+    """The labelled aspect corpus without comments, on demand with the month taken once per review."""
+    keep = ["hotel_id", "hotel_name", "review_id", "post_datetime", *(["year_month"] if months else [])]
+    research = reviews(spark, sf_dir)
+    return aspect_corpus(with_month(research) if months else research, min_chars=None, keep=keep)
 
 
 _ASPECT_VALUES = ", ".join(f"({i}, '{a}')" for i, a in enumerate(ASPECTS))

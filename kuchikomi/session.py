@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -16,7 +17,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
+def local_session(cores: str | int = "*", partitions: int = 8, shared: str | None = None) -> SparkSession:
     """A single-machine session for tests and the bench; clusters bring their own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -26,25 +27,29 @@ def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
     )
+    if shared:
+        builder = builder.config(CHECKPOINT_SETTING, shared)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
 
 
+@functools.cache
+def _temporary_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"{application}-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Only a local-mode session without the setting gets a fresh temporary folder; a cluster without it
+    Only a local-mode session without the setting gets a temporary folder of its own; a cluster without it
     is an error, because a folder of one machine would be lost with that machine.
     """
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder shared by the whole cluster")
-        folder = tempfile.mkdtemp(prefix="kuchikomi-")
-        spark.conf.set(CHECKPOINT_SETTING, folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = _temporary_folder(spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 

@@ -46,7 +46,8 @@ def padded(ids: Column, length: int) -> Column:
 
 def attention(ids: Column, length: int) -> Column:
     """1 where a padded sequence holds a real id, 0 where it holds padding."""
-    return F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: (i <= F.size(ids)).cast("int"))
+    real = F.least(F.size(ids), F.lit(length))
+    return F.concat(F.array_repeat(F.lit(1), real), F.array_repeat(F.lit(0), F.lit(length) - real))
 
 
 def shown(tokens: Column) -> Column:

@@ -81,7 +81,7 @@ def feature_columns(chars: Column, words: Column, subwords: Column, length: int)
 def feature_rows(aspects: DataFrame, vocabulary: DataFrame, length: int = SEQUENCE_LENGTH) -> DataFrame:
     """One example per aspect row: id sequences of the conditioned text, mask, label and aspect id."""
     text = aspects.withColumn("_text", conditioned_text(F.col("aspect"), F.col("comment")))
-    encoded = encode(text, "_text", vocabulary, length=length)
+    encoded = encode(text, "_text", vocabulary, prefix="_piece", length=length)
     return encoded.select(
         "review_id",
         aspect_index(F.col("aspect")).alias("aspect_idx"),
@@ -89,7 +89,7 @@ def feature_rows(aspects: DataFrame, vocabulary: DataFrame, length: int = SEQUEN
         *feature_columns(
             char_ids(char_tokens(F.col("_text"))),
             word_ids(word_tokens(F.col("_text"))),
-            F.col("subword_ids"),
+            F.col("_piece_ids"),
             length,
         ),
     )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -33,28 +34,29 @@ def examples(aspects: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def pipeline(reg_param: float, features: int = 1 << 14, weight: str | None = None, max_iter: int = 30) -> Pipeline:
-    """Hashed character bigrams, subwords and words, the aspect one-hot, and logistic regression.
+def featuriser(features: int = 1 << 14) -> Pipeline:
+    """Hashed character pairs, subwords and words, and the aspect one-hot, as one vector."""
+    return Pipeline(
+        stages=[
+            NGram(n=2, inputCol="chars", outputCol="char_pairs"),
+            HashingTF(numFeatures=features, inputCol="char_pairs", outputCol="f_chars"),
+            HashingTF(numFeatures=features, inputCol="subwords", outputCol="f_subwords"),
+            HashingTF(numFeatures=features, inputCol="words", outputCol="f_words"),
+            OneHotEncoder(inputCol="aspect_category", outputCol="f_aspect", dropLast=False, handleInvalid="keep"),
+            VectorAssembler(inputCols=["f_chars", "f_subwords", "f_words", "f_aspect"], outputCol="features"),
+        ]
+    )
 
-    Balance the classes either by drawing the training rows or by ``weight``, not by both.
-    """
-    stages = [
-        NGram(n=2, inputCol="chars", outputCol="char_pairs"),
-        HashingTF(numFeatures=features, inputCol="char_pairs", outputCol="f_chars"),
-        HashingTF(numFeatures=features, inputCol="subwords", outputCol="f_subwords"),
-        HashingTF(numFeatures=features, inputCol="words", outputCol="f_words"),
-        OneHotEncoder(inputCol="aspect_category", outputCol="f_aspect", dropLast=False),
-        VectorAssembler(inputCols=["f_chars", "f_subwords", "f_words", "f_aspect"], outputCol="features"),
-    ]
-    regression = LogisticRegression(
+
+def regression(reg_param: float, weight: str | None = None, max_iter: int = 30) -> LogisticRegression:
+    """Multinomial logistic regression. Balance the classes by drawing the rows or by ``weight``, not both."""
+    estimator = LogisticRegression(
         family="multinomial", regParam=reg_param, maxIter=max_iter, featuresCol="features", labelCol="label"
     )
-    if weight:
-        regression.setWeightCol(weight)
-    return Pipeline(stages=[*stages, regression])
+    return estimator.setWeightCol(weight) if weight else estimator
 
 
-def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def score(model: Transformer, rows: DataFrame) -> DataFrame:
     """Predictions as ``(logits, aspect_idx, label, predicted)``."""
     scored = model.transform(rows).select(
         "review_id", vector_to_array("rawPrediction").alias("logits"), "aspect_idx", "label"
@@ -63,20 +65,36 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def select_model(
-    train: DataFrame, validation: DataFrame, path: str, grid: tuple[float, ...] = REGULARISATION, **options
+    train: DataFrame,
+    validation: DataFrame,
+    path: str,
+    grid: tuple[float, ...] = REGULARISATION,
+    features: int = 1 << 14,
+    weight: str | None = None,
+    max_iter: int = 30,
 ) -> tuple[PipelineModel, float]:
     """Fit each candidate, store the one with the best macro-F1 on the validation rows, return it and its score.
 
-    The first candidate wins a tie. Both frames are read by every candidate, so pass stored tables.
+    The first candidate wins a tie. Texts are turned into vectors once for all candidates.
     """
+    vectors = featuriser(features).fit(train)
+    columns = ["features", "label", *([weight] if weight else [])]
+    fitted = vectors.transform(train).select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    held_out = vectors.transform(validation).select("review_id", "features", "aspect_idx", "label")
+    held_out = held_out.persist(StorageLevel.MEMORY_AND_DISK)
     best, best_f1 = None, -1.0
-    for reg_param in grid:
-        model = pipeline(reg_param, **options).fit(train)
-        f1 = macro_f1(score(model, validation)).first()["macro_f1"] or 0.0
-        if f1 > best_f1:
-            best, best_f1 = model, f1
-    best.write().overwrite().save(path)
-    return best, best_f1
+    try:
+        for reg_param in grid:
+            candidate = regression(reg_param, weight, max_iter).fit(fitted)
+            f1 = macro_f1(score(candidate, held_out)).first()["macro_f1"] or 0.0
+            if f1 > best_f1:
+                best, best_f1 = candidate, f1
+    finally:
+        fitted.unpersist()
+        held_out.unpersist()
+    model = PipelineModel(stages=[*vectors.stages, best])
+    model.write().overwrite().save(path)
+    return model, best_f1
 
 
 def load_model(spark: SparkSession, path: str) -> PipelineModel:

@@ -32,9 +32,10 @@ def row_count(df: DataFrame) -> Column:
 
 def shares(df: DataFrame, column: str, of_all_rows: bool = False) -> DataFrame:
     """Frequencies with their percentage of the non-null values, or of all rows."""
-    base = df if of_all_rows else df.where(F.col(column).isNotNull())
-    total = row_count(base.select(column))
-    return frequencies(df, column).select(
+    table = frequencies(df, column)
+    # The total of the table itself, so that both read one aggregation; all rows need a count of their own.
+    total = row_count(df.select(column)) if of_all_rows else table.agg(F.sum("n")).scalar()
+    return table.select(
         column,
         "n",
         percent(F.col("n"), total).alias("pct"),

@@ -80,7 +80,8 @@ def keys_at(
     """The order key found at given ranks of each stratum, one column per cut; null for rank 0.
 
     ``cuts`` maps names to rank expressions over ``total``, the size of the stratum. Only the buckets
-    holding a cut are sorted; all others are just counted.
+    holding a cut are sorted; all others are just counted. One row per cut and stratum is broadcast, so the
+    strata must come from a small fixed domain.
     """
     hashed = with_hash(ids, key, seed, digits)
     whole = Window.partitionBy(*strata)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kuchikomi.domain import BATCH_ROWS, CHECKED_BATCHES, SEED, SUBSET_CAPS
+from kuchikomi.domain import BATCH_ROWS, CHECKED_BATCHES, LABELS, SEED, SUBSET_CAPS
 from kuchikomi.functions.hashing import digest, unit_interval
 from kuchikomi.operators.frequency import frequencies
 from kuchikomi.operators.ranks import with_rank
@@ -14,13 +14,20 @@ from kuchikomi.session import shuffle_partitions
 DRAWS_PER_CHUNK = 65_536
 
 
-def inverse_weights(df: DataFrame, label: str) -> DataFrame:
-    """Add ``weight``, one over the size of the row's class; class sizes are a small broadcast table."""
-    sizes = frequencies(df, label).select(label, (F.lit(1.0) / F.col("n")).alias("weight"))
-    return df.join(F.broadcast(sizes), label)
+def class_sizes(df: DataFrame, label: str, classes: tuple[int, ...] = LABELS) -> DataFrame:
+    """Rows of each class of the domain: never more rows than classes, hence safe to broadcast."""
+    return frequencies(df.where(F.col(label).isin(*classes)), label)
 
 
-def class_draws(df: DataFrame, label: str, seed: int = SEED, draws: int | None = None) -> DataFrame:
+def inverse_weights(df: DataFrame, label: str, classes: tuple[int, ...] = LABELS) -> DataFrame:
+    """Add ``weight``, one over the size of the row's class; null for a label outside the domain."""
+    sizes = class_sizes(df, label, classes).select(label, (F.lit(1.0) / F.col("n")).alias("weight"))
+    return df.join(F.broadcast(sizes), label, "left")
+
+
+def class_draws(
+    df: DataFrame, label: str, seed: int = SEED, draws: int | None = None, classes: tuple[int, ...] = LABELS
+) -> DataFrame:
     """As many draws as rows (or ``draws``): draw id, the class drawn, and the rank drawn in the class.
 
     With weights one over class size every class is drawn with equal probability, and every row of a
@@ -28,7 +35,7 @@ def class_draws(df: DataFrame, label: str, seed: int = SEED, draws: int | None =
     chunks spread over all tasks, each chunk expanded where it lies.
     """
     spark = df.sparkSession
-    sizes = frequencies(df, label)
+    sizes = class_sizes(df, label, classes)
     known = sizes.agg(
         F.struct(
             F.array_sort(F.collect_list(F.struct(F.col(label), F.col("n")))).alias("classes"), F.sum("n").alias("total")
@@ -49,13 +56,22 @@ def class_draws(df: DataFrame, label: str, seed: int = SEED, draws: int | None =
     return chosen.select("draw_id", F.col(f"_class.{label}").alias(label), place.cast("bigint").alias("rank"))
 
 
-def balanced_sample(df: DataFrame, key: str, label: str, seed: int = SEED, draws: int | None = None) -> DataFrame:
+def balanced_sample(
+    df: DataFrame,
+    key: str,
+    label: str,
+    seed: int = SEED,
+    draws: int | None = None,
+    classes: tuple[int, ...] = LABELS,
+) -> DataFrame:
     """Class-balanced sample with replacement: one row per draw, with its draw id.
 
-    An equi-join of the draws with the ranked rows on (class, rank), a key without heavy values.
+    An equi-join of the draws with the ranked rows on (class, rank), a key without heavy values. Only rows
+    of the class domain can be drawn.
     """
-    ranked = with_rank(df.where(F.col(label).isNotNull()), key, (label,), seed)
-    return class_draws(df, label, seed, draws).join(ranked, [label, "rank"]).select("draw_id", *df.columns)
+    ranked = with_rank(df.where(F.col(label).isin(*classes)), key, (label,), seed)
+    drawn = class_draws(df, label, seed, draws, classes)
+    return drawn.join(ranked, [label, "rank"]).select("draw_id", *df.columns)
 
 
 def batch_composition(

@@ -53,15 +53,19 @@ def hotel_split(aspects: DataFrame, seed: int = SEED) -> DataFrame:
     return split_by(with_known_hotels(aspects), "hotel_name", seed)
 
 
-def stratified_split(df: DataFrame, key: str, stratum: str, seed: int = SEED) -> DataFrame:
+def stratified_split(
+    df: DataFrame, key: str, stratum: str, seed: int = SEED, classes: tuple[int, ...] = LABELS
+) -> DataFrame:
     """80/20 split with the class shares kept: the cut is taken inside each class.
 
-    One cut value per class is broadcast; classes are a small fixed domain.
+    One cut value per class of the domain is broadcast and every row is compared with its class's cut, so
+    a class with most of the rows is not gathered anywhere. Rows outside the domain get no split.
     """
-    cuts = keys_at(df.select(key, stratum), key, {"cut": F.col("total") - _held_out(F.col("total"))}, (stratum,), seed)
-    joined = join_null_safe(df, cuts, [stratum], "left", small=True)
-    split = F.when(order_key(F.col(key), seed) <= F.col("cut"), TRAIN).otherwise(VALIDATION)
-    return joined.select(*df.columns, split.alias("split"))
+    known = F.col(stratum).isin(*classes)
+    total = F.col("total")
+    cuts = keys_at(df.where(known).select(key, stratum), key, {"cut": total - _held_out(total)}, (stratum,), seed)
+    split = F.when(order_key(F.col(key), seed) <= F.col("cut"), TRAIN).when(known, VALIDATION)
+    return df.join(F.broadcast(cuts), stratum, "left").select(*df.columns, split.alias("split"))
 
 
 def rows_of_ids(df: DataFrame, ids: DataFrame, key: str = "review_id") -> DataFrame:

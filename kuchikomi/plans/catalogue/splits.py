@@ -128,7 +128,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     from placed""".replace(", placed", "with placed", 1),
 )
 def stratified_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.stratified_split(views.quality_rows(spark, sf_dir), "doc_id", "quality").select("doc_id", "quality", "split")
+    return splits.stratified_split(views.quality_rows(spark, sf_dir), "doc_id", "quality", classes=(0, 1)).select("doc_id", "quality", "split")
 
 
 DRAWS_SQL = f"""

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kuchikomi.domain import RAW_REVIEW
 from kuchikomi.operators.collection import first_per_key, identified, not_yet_collected
 from kuchikomi.sources.assets import open_asset
-from kuchikomi.sources.review_lines import accepted, collected_ids, parse_review_lines
+from kuchikomi.sources.review_lines import accepted, parse_review_lines
+
+# A batch of ids up to this many rows, some tens of megabytes, may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def read_line_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -36,20 +39,33 @@ def unique_stream(reviews: DataFrame, time_column: str | None = None, lateness:
     return reviews.dropDuplicates(["id"])
 
 
-def append_new(batch: DataFrame, table: str) -> None:
-    """Append to ``table`` the reviews of a batch whose ids it does not hold, the first copy of each.
+def append_new(batch: DataFrame, table: str, broadcast_rows: int = BROADCAST_ROWS) -> int:
+    """Append to ``table`` the reviews of a batch whose ids it does not hold; return how many were added.
 
-    "First" is the lowest hotel, post time and remaining columns. Copies are reduced before the shuffle,
-    so a batch full of one id does not end in one task. The table itself is the memory: a batch run again
-    after a failure finds its ids stored and adds nothing.
+    Of several copies the lowest hotel, post time and remaining columns wins. Copies are reduced before
+    the shuffle, so a batch full of one id does not end in one task. The table itself is the memory: a
+    batch run again after a failure finds its ids stored and adds nothing. The stored ids are only
+    scanned, not shuffled, while the batch is small enough to be broadcast to them; a larger batch is
+    joined by shuffle.
     """
     spark = batch.sparkSession
     order = [c for c in ("hotel_id", "postDateTime") if c in batch.columns]
-    unique = first_per_key(batch, "id", order)
-    stored = open_asset(spark, table)
-    if stored is not None:
-        unique = not_yet_collected(unique, collected_ids(stored).withColumnRenamed("review_id", "id"), "id")
-    unique.write.mode("append").parquet(table)
+    unique = first_per_key(batch, "id", order).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = unique.count()
+        stored = open_asset(spark, table)
+        if stored is None:
+            new = unique
+        else:
+            ids = unique.select("id")
+            known = stored.select("id").join(F.broadcast(ids) if rows <= broadcast_rows else ids, "id", "left_semi")
+            new = not_yet_collected(unique, known, "id")
+            rows -= known.count()
+        if rows:
+            new.write.mode("append").parquet(table)
+        return rows
+    finally:
+        unique.unpersist()
 
 
 def ingest(spark: SparkSession, source: str, table: str, checkpoint: str, max_files: int | None = None) -> StreamingQuery:
@@ -61,6 +77,3 @@ def ingest(spark: SparkSession, source: str, table: str, checkpoint: str, max_fi
         .trigger(availableNow=True)
         .start()
     )
-
-
-RAW_COLUMNS = ("hotel_id", *RAW_REVIEW.fieldNames())

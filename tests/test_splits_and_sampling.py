@@ -168,3 +168,13 @@ def test_capped_subset(skewed):
 def test_capped_subset_limits_before_the_shuffle(skewed):
     plan = sampling.capped_subset(skewed, "sentiment_label", ["review_id"])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_labels_outside_the_domain_are_kept_but_not_used(spark):
+    rows = spark.createDataFrame([(i, [0, 1, 2, 9, None][i % 5]) for i in range(50)], "k int, label int")
+    weighted = sampling.inverse_weights(rows, "label").collect()
+    assert len(weighted) == 50 and {r.weight for r in weighted if r.label in (9, None)} == {None}
+    split = splits.stratified_split(rows, "k", "label").collect()
+    assert len(split) == 50 and {r.split for r in split if r.label in (9, None)} == {None}
+    assert Counter(r.split for r in split if r.label == 1) == {"train": 8, "val": 2}
+    assert {r.label for r in sampling.balanced_sample(rows, "k", "label").collect()} == {0, 1, 2}

@@ -56,3 +56,12 @@ def test_pages_in_sequence_first_seen_wins(spark):
     rows = spark.createDataFrame([("x", 2, 0), ("x", 1, 19), ("y", 1, 0), (None, 1, 3)], "id string, page int, position int")
     first = collection.first_per_key(collection.identified(rows), "id", ["page", "position"])
     assert sorted(tuple(r) for r in first.collect()) == [("x", 1, 19), ("y", 1, 0)]
+
+
+def test_append_without_broadcast_gives_the_same(spark, tmp_path):
+    table = str(tmp_path / "table")
+    schema = "id string, hotel_id string, postDateTime string"
+    assert ingest.append_new(spark.createDataFrame([("a", "h", "1"), ("b", "h", "1")], schema), table, broadcast_rows=0) == 2
+    later = spark.createDataFrame([("b", "x", "0"), ("c", "x", "0"), ("c", "x", "1")], schema)
+    assert ingest.append_new(later, table, broadcast_rows=0) == 1
+    assert sorted(tuple(r) for r in spark.read.parquet(table).collect()) == [("a", "h", "1"), ("b", "h", "1"), ("c", "x", "0")]

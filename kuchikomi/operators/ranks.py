@@ -7,8 +7,6 @@ rank a global window would give, at any skew of the strata.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,25 +22,26 @@ def seeded(key: Column, seed: int = SEED) -> Column:
     return digest(key, F.lit(seed))
 
 
-def with_hash(df: DataFrame, key: str, seed: int = SEED, digits: int = BUCKET_DIGITS) -> DataFrame:
-    return df.withColumn(_HASH, seeded(F.col(key), seed)).withColumn(_BUCKET, F.substring(_HASH, 1, digits))
+def with_hash(
+    df: DataFrame, key: str, strata: tuple[str, ...] = (), seed: int = SEED, digits: int = BUCKET_DIGITS
+) -> DataFrame:
+    """Add the seeded md5 and the bucket: stratum values and leading digits in one text that is never null.
+
+    A single non-null column lets the window, the size count and the join on the offsets all use the same
+    partitioning and order.
+    """
+    stratum = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in strata]
+    hashed = df.withColumn(_HASH, seeded(F.col(key), seed))
+    return hashed.withColumn(_BUCKET, F.concat_ws("|", F.substring(_HASH, 1, digits), *stratum))
 
 
 def bucket_sizes(hashed: DataFrame, strata: tuple[str, ...] = ()) -> DataFrame:
-    """Rows per stratum and bucket with the rows before the bucket: at most 16^digits rows per stratum."""
+    """Rows per bucket with the rows before it in its stratum: at most 16^digits buckets per stratum."""
     sizes = hashed.groupBy(*strata, _BUCKET).agg(F.count(F.lit(1)).alias(_SIZE))
     earlier = Window.partitionBy(*strata).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.withColumn(_BEFORE, F.coalesce(F.sum(_SIZE).over(earlier), F.lit(0)))
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner", small: bool = False) -> DataFrame:
-    """Equi-join where null matches null; the key columns appear once. ``small`` marks a bounded right side."""
-    other = {c: f"_other_{c}" for c in columns}
-    right = right.withColumnsRenamed(other)
-    condition = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(o)) for c, o in other.items()])
-    return left.join(F.broadcast(right) if small else right, condition, how).drop(*other.values())
-
-
 def with_rank(
     df: DataFrame,
     key: str,
@@ -56,12 +55,11 @@ def with_rank(
     ``key`` identifies a row. The rank of a stratum with most of the rows is computed by as many tasks as
     there are buckets; the offsets join on the columns the rows are already partitioned by.
     """
-    hashed = with_hash(df, key, seed, digits)
-    offsets = bucket_sizes(hashed, strata).select(*strata, _BUCKET, _BEFORE)
-    inside = Window.partitionBy(*strata, _BUCKET).orderBy(_HASH, key)
-    placed = hashed.withColumn(_PLACE, F.row_number().over(inside))
-    joined = join_null_safe(placed, offsets, [*strata, _BUCKET])
-    return joined.select(*df.columns, (F.col(_BEFORE) + F.col(_PLACE)).alias(rank))
+    hashed = with_hash(df, key, strata, seed, digits)
+    offsets = bucket_sizes(hashed, strata).select(_BUCKET, _BEFORE)
+    inside = Window.partitionBy(_BUCKET).orderBy(_HASH, key)
+    placed = hashed.withColumn(_PLACE, F.row_number().over(inside)).drop(_HASH)
+    return placed.join(offsets, _BUCKET).select(*df.columns, (F.col(_BEFORE) + F.col(_PLACE)).alias(rank))
 
 
 def order_key(key: Column, seed: int = SEED) -> Column:
@@ -83,7 +81,7 @@ def keys_at(
     holding a cut are sorted; all others are just counted. One row per cut and stratum is broadcast, so the
     strata must come from a small fixed domain.
     """
-    hashed = with_hash(ids, key, seed, digits)
+    hashed = with_hash(ids, key, strata, seed, digits)
     whole = Window.partitionBy(*strata)
     sizes = bucket_sizes(hashed, strata).withColumn("total", F.sum(_SIZE).over(whole))
     wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("cut"), c.cast("bigint").alias("at")) for n, c in cuts.items()]))
@@ -92,11 +90,10 @@ def keys_at(
         .where((F.col("w.at") > F.col(_BEFORE)) & (F.col("w.at") <= F.col(_BEFORE) + F.col(_SIZE)))
         .select(*strata, _BUCKET, "w.cut", (F.col("w.at") - F.col(_BEFORE)).alias("at"))
     )
-    inside = Window.partitionBy(*strata, _BUCKET).orderBy(_HASH, key)
-    cut_buckets = holding.select(*strata, _BUCKET).distinct()
-    near = join_null_safe(hashed, cut_buckets, [*strata, _BUCKET], "left_semi", small=True)
+    inside = Window.partitionBy(_BUCKET).orderBy(_HASH, key)
+    near = hashed.join(F.broadcast(holding.select(_BUCKET).distinct()), _BUCKET, "left_semi")
     placed = near.withColumn("at", F.row_number().over(inside).cast("bigint"))
-    found = join_null_safe(placed, holding, [*strata, _BUCKET, "at"], small=True).select(
+    found = placed.join(F.broadcast(holding.drop(*strata)), [_BUCKET, "at"]).select(
         *strata, "cut", order_key(F.col(key), seed).alias("found")
     )
     return found.groupBy(*strata).agg(

@@ -53,7 +53,9 @@ def class_draws(
     index = F.floor(unit_interval(F.col("_hash"), 1) * F.size("_classes")).cast("int")
     chosen = hashed.withColumn("_class", F.get("_classes", index))
     place = F.floor(unit_interval(F.col("_hash"), 14) * F.col("_class.n")) + 1
-    return chosen.select("draw_id", F.col(f"_class.{label}").alias(label), place.cast("bigint").alias("rank"))
+    # Never null, and said so: otherwise a join would hash every draw once more to test it.
+    known_class = F.coalesce(F.col(f"_class.{label}"), F.lit(classes[0]))
+    return chosen.select("draw_id", known_class.alias(label), F.coalesce(place, F.lit(0)).cast("bigint").alias("rank"))
 
 
 def balanced_sample(
@@ -67,11 +69,12 @@ def balanced_sample(
     """Class-balanced sample with replacement: one row per draw, with its draw id.
 
     An equi-join of the draws with the ranked rows on (class, rank), a key without heavy values. Only rows
-    of the class domain can be drawn.
+    of the class domain can be drawn. Both sides are as large as the table, but the draws come out of an
+    expanded range the optimizer takes for a few bytes; the hint keeps it from broadcasting them.
     """
     ranked = with_rank(df.where(F.col(label).isin(*classes)), key, (label,), seed)
     drawn = class_draws(df, label, seed, draws, classes)
-    return drawn.join(ranked, [label, "rank"]).select("draw_id", *df.columns)
+    return drawn.hint("merge").join(ranked, [label, "rank"]).select("draw_id", *df.columns)
 
 
 def batch_composition(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kuchikomi.domain import LABELS, PREASSIGNED_SPLITS, SEED, TEST, TRAIN, UNKNOWN_HOTEL, VALIDATION
 from kuchikomi.functions.scores import percent
-from kuchikomi.operators.ranks import join_null_safe, keys_at, order_key
+from kuchikomi.operators.ranks import keys_at, order_key
 
 HELD_OUT = 0.2
 TEST_OF_HELD_OUT = 0.5
@@ -70,7 +70,8 @@ def stratified_split(
 
 def rows_of_ids(df: DataFrame, ids: DataFrame, key: str = "review_id") -> DataFrame:
     """Rows whose key is among the ids of a stored split, null matching null."""
-    return join_null_safe(df, ids.select(key), [key], "left_semi")
+    wanted = ids.select(F.col(key).alias("_wanted"))
+    return df.join(wanted, F.col(key).eqNullSafe(F.col("_wanted")), "left_semi")
 
 
 def routed(df: DataFrame, splits: tuple[str, ...] = PREASSIGNED_SPLITS) -> DataFrame:

@@ -369,11 +369,11 @@ def asset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "T7 P17",
     """
-    , first_row as (select * from documents order by doc_id limit 1)
+    with first_row as (select * from documents order by doc_id limit 1)
     select 'text' as column_name, case when length(text) > 100 then substr(text, 1, 100) || '...' else text end as value from first_row
     union all select 'lang', lang from first_row union all select 'source', source from first_row
     union all select 'doc_id', doc_id::varchar from first_row union all select 'n_chars', n_chars::varchar from first_row
-    """.replace(", first_row", "with first_row", 1),
+    """,
 )
 def sample_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets.sample_row(views.table(spark, sf_dir, "documents"), "doc_id")

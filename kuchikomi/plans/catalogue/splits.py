@@ -122,10 +122,10 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "D3 on labels",
     f"""
-    , placed as (select *, row_number() over (partition by quality order by md5(doc_id || '|{SEED}'), doc_id::varchar) as place,
+    with placed as (select *, row_number() over (partition by quality order by md5(doc_id || '|{SEED}'), doc_id::varchar) as place,
                         count(*) over (partition by quality) as total from labels)
     select doc_id, quality, case when place <= total - ceil(0.2::double * total) then 'train' else 'val' end as split
-    from placed""".replace(", placed", "with placed", 1),
+    from placed""",
 )
 def stratified_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.stratified_split(views.quality_rows(spark, sf_dir), "doc_id", "quality", classes=(0, 1)).select("doc_id", "quality", "split")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kuchikomi.functions.time import month_of, parse_strict
@@ -65,12 +65,12 @@ def chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "A9 W1 on the largest table",
     """
-    , months as (select strftime(l_shipdate, '%Y-%m') as year_month, l_returnflag as aspect, l_quantity from lineitem),
+    with months as (select strftime(l_shipdate, '%Y-%m') as year_month, l_returnflag as aspect, l_quantity from lineitem),
     grouped as (
       select year_month, aspect, count(*) as review_count, round(avg(l_quantity), 6) as avg_score
       from months group by year_month, aspect having count(*) >= 5)
     select *, round(avg_score - lag(avg_score) over (partition by aspect order by year_month), 6) as score_delta
-    from grouped""".replace(", months", "with months", 1),
+    from grouped""",
 )
 def shipment_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trend operator over order lines: return flags as aspects, quantities as scores."""
@@ -84,7 +84,7 @@ def shipment_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     trend = trends.global_trend(lines)
     rounded = F.round("avg_score", 6)
     # Deltas of the rounded means, so that both engines subtract the same numbers.
-    window = trends.Window.partitionBy("aspect").orderBy("year_month")
+    window = Window.partitionBy("aspect").orderBy("year_month")
     return trend.select(
         "year_month",
         "aspect",

@@ -178,3 +178,16 @@ def test_labels_outside_the_domain_are_kept_but_not_used(spark):
     assert len(split) == 50 and {r.split for r in split if r.label in (9, None)} == {None}
     assert Counter(r.split for r in split if r.label == 1) == {"train": 8, "val": 2}
     assert {r.label for r in sampling.balanced_sample(rows, "k", "label").collect()} == {0, 1, 2}
+
+
+def test_draws_are_never_broadcast(skewed):
+    """The optimizer takes the expanded range for tiny; both sides must be shuffled on (class, rank)."""
+    plan = sampling.balanced_sample(skewed, "review_id", "sentiment_label")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [sentiment_label" in plan
+
+
+def test_rank_needs_one_shuffle_of_the_rows(skewed):
+    rows = skewed.select("review_id", "sentiment_label", F.lit("payload").alias("comment"))
+    plan = ranks.with_rank(rows, "review_id", ("sentiment_label",))._jdf.queryExecution().executedPlan().toString()
+    big_side = plan.split("Join [_bucket")[1].split("Exchange")
+    assert big_side[1].startswith(" hashpartitioning(_bucket") and "Window" in big_side[0]

@@ -21,16 +21,22 @@ from kuchikomi.functions.text import WHITESPACE
 URL = rf"""https?[^"'<>{WHITESPACE}]+"""
 
 
+def _cut(text: Column, marker: str) -> Column:
+    """What precedes and what follows the first ``marker``; the whole text alone when it does not occur.
+
+    One mention of ``text``, so that chained cuts do not multiply the expression.
+    """
+    return F.split(text, rf"\Q{marker}\E", 2)
+
+
 def after(text: Column, marker: str) -> Column:
     """What follows the first occurrence of ``marker``, null when it does not occur."""
-    found = F.instr(text, marker)
-    return F.when(found > 0, F.substring(text, found + F.lit(len(marker)), F.length(text)))
+    return F.get(_cut(text, marker), F.lit(1))
 
 
 def until(text: Column, marker: str) -> Column:
     """What precedes the first occurrence of ``marker``, null when it does not occur."""
-    found = F.instr(text, marker)
-    return F.when(found > 0, F.substring(text, F.lit(1), found - F.lit(1)))
+    return F.try_element_at(_cut(text, marker), F.lit(-2))
 
 
 def between(text: Column, first: str, last: str) -> Column:
@@ -41,22 +47,20 @@ def embedded_array(text: Column, *markers: str) -> Column:
     """The JSON array opening after the markers, taken in turn, with all that follows it; null if any is missing."""
     for marker in markers:
         text = after(text, marker)
-    opening = F.instr(text, "[")
-    return F.when(opening > 0, F.substring(text, opening, F.length(text)))
-
-
-def reported_total(html: Column) -> Column:
-    """The integer between the total marker and the next comma, null when there is none."""
-    return F.trim(between(after(html, LIST_MARKER), TOTAL_MARKER, ",")).try_cast("bigint")
+    return F.concat(F.lit("["), after(text, "["))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """Add ``reviews`` (decoded array) and ``reported_total``; pages without the array have null reviews."""
-    tail = embedded_array(F.col("html"), LIST_MARKER, CONTENTS_MARKER)
-    return pages.select(
-        *[c for c in pages.columns if c != "html"],
-        reported_total(F.col("html")).alias("reported_total"),
-        F.from_json(tail, T.ArrayType(RAW_REVIEW)).alias("reviews"),
+    """Add ``reported_total`` and ``reviews`` (decoded array); pages without the array have null reviews.
+
+    The total is the integer between its marker and the next comma, null when there is none.
+    """
+    kept = [c for c in pages.columns if c != "html"]
+    listed = pages.select(*kept, after(F.col("html"), LIST_MARKER).alias("_list"))
+    return listed.select(
+        *kept,
+        F.trim(between(F.col("_list"), TOTAL_MARKER, ",")).try_cast("bigint").alias("reported_total"),
+        F.from_json(embedded_array(F.col("_list"), CONTENTS_MARKER), T.ArrayType(RAW_REVIEW)).alias("reviews"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,23 +16,27 @@ from kuchikomi.operators.vocabulary import encode
 
 GRANULARITIES = ("character", "subword", "word")
 
+# How words are found: an expression from text to an array of words. The default splits script runs; a
+# morphological tagger can be passed as a pandas UDF.
+Words = Callable[[Column], Column]
+
 
-def token_counts(df: DataFrame, column: str, vocabulary: DataFrame) -> DataFrame:
+def token_counts(df: DataFrame, column: str, vocabulary: DataFrame, words: Words = word_tokens) -> DataFrame:
     """Add the number of character, subword and word tokens of each text."""
     return encode(df, column, vocabulary).select(
         *df.columns,
         char_length(F.col(column)).alias("character"),
         F.size("subword_pieces").cast("bigint").alias("subword"),
-        F.size(word_tokens(F.col(column))).cast("bigint").alias("word"),
+        F.size(words(F.col(column))).cast("bigint").alias("word"),
     )
 
 
-def token_statistics(df: DataFrame, column: str, vocabulary: DataFrame) -> DataFrame:
+def token_statistics(df: DataFrame, column: str, vocabulary: DataFrame, words: Words = word_tokens) -> DataFrame:
     """Mean, median, minimum and maximum token count per granularity, and tokens per character.
 
     The ratio is one of means. Counts are first reduced to a histogram, which the exact median reads.
     """
-    counts = token_counts(df.select(column), column, vocabulary).where(F.col(column).isNotNull())
+    counts = token_counts(df.select(column), column, vocabulary, words).where(F.col(column).isNotNull())
     long = counts.select(*GRANULARITIES).unpivot([], list(GRANULARITIES), "granularity", "tokens")
     histogram = long.groupBy("granularity", "tokens").agg(F.count(F.lit(1)).alias("n"))
     summary = histogram.groupBy("granularity").agg(
@@ -52,14 +58,16 @@ def token_statistics(df: DataFrame, column: str, vocabulary: DataFrame) -> DataF
     )
 
 
-def token_preview(df: DataFrame, column: str, vocabulary: DataFrame, order_by: list[str], n: int = 10) -> DataFrame:
+def token_preview(
+    df: DataFrame, column: str, vocabulary: DataFrame, order_by: list[str], n: int = 10, words: Words = word_tokens
+) -> DataFrame:
     """The first texts with their characters, subwords and words side by side."""
     sample = df.orderBy(*order_by).limit(n)
     return encode(sample, column, vocabulary).select(
         *df.columns,
         shown(char_tokens(F.col(column))).alias("characters"),
         shown(F.col("subword_pieces")).alias("subwords"),
-        shown(word_tokens(F.col(column))).alias("words"),
+        shown(words(F.col(column))).alias("words"),
     )
 
 
@@ -78,7 +86,9 @@ def feature_columns(chars: Column, words: Column, subwords: Column, length: int)
     ]
 
 
-def feature_rows(aspects: DataFrame, vocabulary: DataFrame, length: int = SEQUENCE_LENGTH) -> DataFrame:
+def feature_rows(
+    aspects: DataFrame, vocabulary: DataFrame, length: int = SEQUENCE_LENGTH, words: Words = word_tokens
+) -> DataFrame:
     """One example per aspect row: id sequences of the conditioned text, mask, label and aspect id."""
     text = aspects.withColumn("_text", conditioned_text(F.col("aspect"), F.col("comment")))
     encoded = encode(text, "_text", vocabulary, prefix="_piece", length=length)
@@ -88,14 +98,16 @@ def feature_rows(aspects: DataFrame, vocabulary: DataFrame, length: int = SEQUEN
         F.col("sentiment_label").alias("label"),
         *feature_columns(
             char_ids(char_tokens(F.col("_text"))),
-            word_ids(word_tokens(F.col("_text"))),
+            word_ids(words(F.col("_text"))),
             F.col("_piece_ids"),
             length,
         ),
     )
 
 
-def corpus_features(research: DataFrame, vocabulary: DataFrame, length: int = SEQUENCE_LENGTH, **corpus) -> DataFrame:
+def corpus_features(
+    research: DataFrame, vocabulary: DataFrame, length: int = SEQUENCE_LENGTH, words: Words = word_tokens, **corpus
+) -> DataFrame:
     """``feature_rows`` of the aspect corpus, reading every comment once instead of once per aspect.
 
     Tokens never cross the space after the bracketed aspect, so the ids of ``[aspect] comment`` are those
@@ -106,7 +118,7 @@ def corpus_features(research: DataFrame, vocabulary: DataFrame, length: int = SE
     cut = encode(reviews, "_text", vocabulary, length=length).select(
         *research.columns,
         char_ids(char_tokens(F.substring("_text", 1, length))).alias("_chars"),
-        word_ids(F.slice(word_tokens(F.col("_text")), 1, length)).alias("_words"),
+        word_ids(F.slice(words(F.col("_text")), 1, length)).alias("_words"),
         F.col("subword_ids").alias("_subwords"),
     )
     keep = ["review_id", "_chars", "_words", "_subwords"]
@@ -119,7 +131,7 @@ def corpus_features(research: DataFrame, vocabulary: DataFrame, length: int = SE
         F.col("sentiment_label").alias("label"),
         *feature_columns(
             F.concat(char_ids(char_tokens(F.col("_bracket"))), "_chars"),
-            F.concat(word_ids(word_tokens(F.col("_bracket"))), "_words"),
+            F.concat(word_ids(words(F.col("_bracket"))), "_words"),
             F.concat("bracket_ids", "_subwords"),
             length,
         ),

@@ -144,3 +144,16 @@ def test_review_level_features_equal_row_level_ones(spark, texts):
         shared = features.corpus_features(research, table, length)
         assert shared.columns == direct.columns
         assert direct.count() == 8 and direct.exceptAll(shared).count() == 0
+
+
+def test_words_from_a_pandas_udf(spark, texts):
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def by_space(text: pd.Series) -> pd.Series:
+        return text.fillna("").str.split()
+
+    table = vocabulary.train_vocabulary(texts, "t", size=60).cache()
+    found = features.token_counts(texts, "t", table, words=by_space).collect()
+    assert {r.t: r.word for r in found} == {t: len((t or "").split()) for t in TEXTS}

@@ -3,9 +3,11 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 
+import pandas as pd
 import pytest
 import regex
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kuchikomi.domain import SPECIAL_PIECES
 from kuchikomi.operators import features, vocabulary
@@ -147,9 +149,6 @@ def test_review_level_features_equal_row_level_ones(spark, texts):
 
 
 def test_words_from_a_pandas_udf(spark, texts):
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def by_space(text: pd.Series) -> pd.Series:
         return text.fillna("").str.split()

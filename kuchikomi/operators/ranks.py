@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from kuchikomi.domain import SEED
 from kuchikomi.functions.hashing import digest
 
+# 4,096 buckets per stratum spread a rank; cuts sort one bucket per cut in one task, so theirs are finer.
 BUCKET_DIGITS = 3
+CUT_BUCKET_DIGITS = 4
 
 _HASH, _BUCKET, _SIZE, _BEFORE, _PLACE = "_hash", "_bucket", "_size", "_before", "_place"
 
@@ -73,7 +75,7 @@ def keys_at(
     cuts: dict[str, Column],
     strata: tuple[str, ...] = (),
     seed: int = SEED,
-    digits: int = BUCKET_DIGITS,
+    digits: int = CUT_BUCKET_DIGITS,
 ) -> DataFrame:
     """The order key found at given ranks of each stratum, one column per cut; null for rank 0.
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kuchikomi.llm.rows import per_row, texts
+from kuchikomi.llm.rows import frames, keep, per_row, texts
 
 WINDOW = 10
 BLOCK = 2
@@ -105,25 +105,23 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_w
     """
     out = texts(docs).select("doc_id", "text", F.lit(0).alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("item_ids"))
     for shared in window_blocks(items, window, block_windows):
-        out = out.mapInPandas(_searcher(shared), out.schema)
+        out = frames(out, _searcher(shared), out.schema)
     return out.drop("text")
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_windows: int = 200_000) -> DataFrame:
     """The rows of ``docs``, all columns, in which no window occurs."""
     for shared in window_blocks(items, window, block_windows):
-        docs = docs.mapInPandas(_sieve(shared), docs.schema)
+        docs = keep(docs, _sieve(shared))
     return docs
 
 
 def _sieve(shared):
-    def run(batches):
+    def wanted(values: list[str]) -> list[bool]:
         tables = _tables(shared.value)
-        for batch in batches:
-            found = [words(t or "") for t in batch.text]
-            yield batch[[not any(True for table in tables for _ in table.search(w)) for w in found]]
+        return [not any(True for table in tables for _ in table.search(w)) for w in map(words, values)]
 
-    return run
+    return wanted
 
 
 def _searcher(shared):

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from kuchikomi.session import fresh_path
 
@@ -25,15 +28,33 @@ def id_remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
-def per_row(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """One Arrow batch in, one out; ``function`` sees whole rows and never more than a batch."""
+def frames(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | T.StructType) -> DataFrame:
+    """Map a partition's batches as pandas frames; unlike ``mapInPandas``, integers stay integers beside nulls."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get
+        for out in function(b.to_pandas(types_mapper=whole) for b in batches if b.num_rows):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, kind)
+
+
+def per_row(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType) -> DataFrame:
+    """One batch in, one out; ``function`` sees whole rows and never more than a batch."""
+    return frames(df, lambda batches: map(function, batches), schema)
+
+
+def keep(docs: DataFrame, wanted: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows whose text is wanted, all columns untouched; a null text is judged as an empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                yield function(batch)
+            if batch.num_rows:
+                yield batch.filter(pa.array([bool(x) for x in wanted([t or "" for t in batch.column("text").to_pylist()])]))
 
-    return df.mapInPandas(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

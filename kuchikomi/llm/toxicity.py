@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kuchikomi.llm.rows import id_remainder, per_row, texts
+from kuchikomi.llm.rows import id_remainder, keep, per_row, texts
 
 IDENTITY_GROUPS = (
     ("women", "men"),
@@ -212,7 +212,4 @@ def filtered(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> D
     """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        return batch[ToxicityModel(*shared.value).scores([t or "" for t in batch.text]) < threshold]
-
-    return per_row(docs, run, docs.schema)
+    return keep(docs, lambda values: ToxicityModel(*shared.value).scores(values) < threshold)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kuchikomi.llm import bpe, decontamination, fingerprints, packed_ids, sharding, token_counts, toxicity
+from kuchikomi.llm import bpe, decontamination, fingerprints, jaccard_join, packed_ids, sharding, token_counts, toxicity
 from kuchikomi.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "copies", "class_links", "n_links", "group_id", "stays")
+
+
 @query()
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"))

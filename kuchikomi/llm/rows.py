@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,7 +71,9 @@ def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
     for batch in batches:
         if not len(batch):
             continue
-        starts = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+        values = [batch[k].to_numpy() for k in keys]
+        changes = np.logical_or.reduce([v[1:] != v[:-1] for v in values])
+        starts = [0, *(np.nonzero(changes)[0] + 1).tolist()]
         if held and (held[-1][keys].iloc[-1] == batch[keys].iloc[0]).all():
             starts = starts[1:]
             if not starts:

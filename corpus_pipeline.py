@@ -1,10 +1,10 @@
-"""From raw documents to decontaminated ones: stages of the training-data operators, each on what the last kept."""
+"""From raw documents to token ids: stages of the training-data operators, each on all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kuchikomi.llm import decontamination, toxicity
+from kuchikomi.llm import bpe, decontamination, jaccard_join, quality, toxicity
 from kuchikomi.llm.rows import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -12,8 +12,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows the counterfactual classifier does not call toxic."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.filtered(docs, model).select(*COLUMNS)
+    return toxicity.filtered(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).select(*COLUMNS)
+
+
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose perplexity under the model of trusted text is usual for their language."""
+    return quality.filtered(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of exact and near copies."""
+    return jaccard_join.deduplicated(docs).select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +30,18 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
-STAGES = [("toxicity", without_toxic), ("decontamination", without_benchmark)]
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row that is left, with the digests that prove the round trip."""
+    return bpe.encoded(docs, columns=("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("quality", of_quality),
+    ("near copies", without_copies),
+    ("decontamination", without_benchmark),
+    ("token ids", token_ids),
+]
 
 #: The classifier, the language model and the tokenizer cannot be stated in SQL.
 ORACLE_SQL = None

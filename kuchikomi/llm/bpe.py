@@ -118,30 +118,43 @@ class Encoder:
         return out
 
 
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, ids, decoded`` of every whole text; ids are little-endian unsigned 32-bit integers in a row."""
+RESULT = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded string, decoded_sha256 string"
+
+
+def encoded(docs: DataFrame, path: str | None = None, columns: tuple[str, ...] = ("doc_id", "ids", "decoded")) -> DataFrame:
+    """The chosen columns of ``RESULT`` for every whole text; ``ids`` are little-endian unsigned 32-bit integers.
+
+    Only what is chosen leaves the task, so digests can be had without moving ids or decoded texts.
+    """
     shared = shared_file(docs.sparkSession, path)
+    kinds = dict(c.split() for c in RESULT.split(", "))
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         made = kept(shared, "encoder", Encoder).encode(batch.text.tolist())
-        return pd.DataFrame({"doc_id": batch.doc_id, "ids": [m[0] for m in made], "decoded": [m[1] for m in made]})
+        whole = {
+            "doc_id": lambda: batch.doc_id,
+            "n_tokens": lambda: [len(ids) // 4 for ids, _ in made],
+            "ids": lambda: [ids for ids, _ in made],
+            "ids_sha256": lambda: [hashlib.sha256(ids).hexdigest() for ids, _ in made],
+            "decoded": lambda: [text for _, text in made],
+            "decoded_sha256": lambda: [hashlib.sha256(text.encode()).hexdigest() for _, text in made],
+        }
+        return pd.DataFrame({c: whole[c]() for c in columns})
 
-    return per_row(texts(docs), run, "doc_id long, ids binary, decoded string")
+    return per_row(texts(docs), run, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Counts and digests of the ids and of the decoded text, taken in the task that encodes: nothing wide leaves it."""
-    shared = shared_file(docs.sparkSession, path)
+def decoded(encodings: DataFrame, path: str | None = None) -> DataFrame:
+    """``doc_id, decoded`` from ``doc_id, ids``."""
+    shared = shared_file(encodings.sparkSession, path)
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        made = kept(shared, "encoder", Encoder).encode(batch.text.tolist())
-        return pd.DataFrame(
-            {
-                "doc_id": batch.doc_id,
-                "n_tokens": [len(m[0]) // 4 for m in made],
-                "ids_sha256": [hashlib.sha256(m[0]).hexdigest() for m in made],
-                "decoded_sha256": [hashlib.sha256(m[1].encode()).hexdigest() for m in made],
-            }
-        )
-
-    return per_row(texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        encoder = kept(shared, "encoder", Encoder)
+        return pd.DataFrame({"doc_id": batch.doc_id, "decoded": [encoder.decode(np.frombuffer(i or b"", "<u4")) for i in batch.ids]})
+
+    return per_row(encodings.select("doc_id", "ids"), run, "doc_id long, decoded string")
+
+
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Counts and digests of the ids and of the decoded text."""
+    return encoded(docs, path, ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))

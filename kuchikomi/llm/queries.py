@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kuchikomi.llm import bpe, decontamination, fingerprints, jaccard_join, packed_ids, sharding, token_counts, toxicity
+from kuchikomi.llm import bpe, decontamination, fingerprints, jaccard_join, packed_ids, pitman_yor, quality, sharding, token_counts, toxicity
 from kuchikomi.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "copies", "class_links", "n_links", "group_id", "stays")
 
 
+@query()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"))
@@ -62,3 +67,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.held_out_scores(table(spark, sf_dir, "documents"))

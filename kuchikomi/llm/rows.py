@@ -47,13 +47,14 @@ def per_row(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], sch
     return frames(df, lambda batches: map(function, batches), schema)
 
 
-def keep(docs: DataFrame, wanted: Callable[[list[str]], list[bool]]) -> DataFrame:
-    """The rows whose text is wanted, all columns untouched; a null text is judged as an empty one."""
+def keep(docs: DataFrame, wanted: Callable[..., list[bool]], also: tuple[str, ...] = ()) -> DataFrame:
+    """The rows that ``wanted(texts, *also)`` picks, all columns untouched; a null text is judged as an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array([bool(x) for x in wanted([t or "" for t in batch.column("text").to_pylist()])]))
+                columns = [batch.column(c).to_pylist() for c in also]
+                yield batch.filter(pa.array([bool(x) for x in wanted([t or "" for t in batch.column("text").to_pylist()], *columns)]))
 
     return docs.mapInArrow(run, docs.schema)
 

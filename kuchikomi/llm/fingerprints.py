@@ -151,10 +151,10 @@ def compared(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
                     out.append(_row(winnower, *held, text, own))
                 held, closed = (doc_id, text, own), bool(extra)
                 if len(out) >= 256:
-                    yield pd.DataFrame(out, columns=COLUMNS)
+                    yield _frame(out)
                     out = []
         if out:
-            yield pd.DataFrame(out, columns=COLUMNS)
+            yield _frame(out)
 
     return frames(in_order(docs), run, SCHEMA)
 
@@ -163,6 +163,10 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=COLUMNS).assign(doc_id=pd.array([r[0] for r in rows], dtype="Int64"))
+
+
 def _row(winnower: Winnower, doc_id, text: str, own: tuple, following: str, following_own: tuple) -> tuple:
     changed = edited(text, following)
     other = winnower.select(code_points(changed))

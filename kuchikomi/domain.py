@@ -67,6 +67,9 @@ HOTEL_COLUMN_KEYWORDS = ("hotel", "provider")
 
 CORRUPT = "_corrupt"
 
+# What null is written as in delimited files, so that it differs from an empty text.
+NULL_TEXT = r"\N"
+
 RAW_REVIEW = T.StructType(
     [
         T.StructField("id", T.StringType()),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 WHITESPACE = r"\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 _RUN = f"[{WHITESPACE}]+"
-_ENDS = rf"\A[{WHITESPACE}]+|[{WHITESPACE}]+\z"
+# The same characters one by one, for functions that take a set of characters.
+_BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def clean_text(text: Column) -> Column:
@@ -20,7 +21,7 @@ def clean_text(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove whitespace, also the ideographic space, from both ends."""
-    return F.regexp_replace(text, _ENDS, "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def char_length(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Time expressions; the session time zone is UTC (see ``session.prepare``)."""
+"""Time expressions; months are those of UTC, whatever the session's time zone."""
 
 from __future__ import annotations
 
@@ -6,20 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# A time of day followed by an offset or the name of a zone.
+_ZONED = r":\d{2}.*?(?:[Zz]|[+-]\d{1,2}(?::?\d{2}){0,2}|[A-Za-z]+(?:/\w+)+|(?:UTC|GMT|UT).*)\s*$"
+
+
 def parse_strict(text: Column) -> Column:
-    """ISO text with offset to an instant; a malformed value fails the job, null stays null."""
+    """ISO text to an instant, UTC where no offset is given; a malformed value fails the job, null stays null."""
     broken = F.raise_error(F.concat(F.lit("not a timestamp: "), text)).cast("timestamp")
-    return F.coalesce(text.try_cast("timestamp"), F.when(text.isNotNull(), broken))
+    return F.coalesce(parse_lenient(text), F.when(text.isNotNull(), broken))
 
 
 def parse_lenient(text: Column) -> Column:
-    """ISO text with offset to an instant; a malformed value becomes null."""
-    return text.try_cast("timestamp")
+    """ISO text to an instant, UTC where no offset is given; a malformed value becomes null."""
+    read = text.try_cast("timestamp")
+    return F.when(F.regexp_like(text, F.lit(_ZONED)), read).otherwise(F.from_utc_timestamp(read, F.current_timezone()))
 
 
 def month_of(instant: Column) -> Column:
-    """Calendar month as sortable ``yyyy-MM``."""
-    return F.date_format(instant, "yyyy-MM")
+    """UTC calendar month of an instant as sortable ``yyyy-MM``."""
+    return F.date_format(F.to_utc_timestamp(instant, F.current_timezone()), "yyyy-MM")
 
 
 def month_start(month: Column) -> Column:

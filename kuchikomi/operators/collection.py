@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kuchikomi.functions.text import filled
@@ -13,21 +13,28 @@ def identified(reviews: DataFrame, id_column: str = "id") -> DataFrame:
     return reviews.withColumn(id_column, F.col(id_column).cast("string")).where(filled(F.col(id_column)))
 
 
-def first_per_key(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
+def first_per_key(df: DataFrame, key: str | list[str], order_by: list[str]) -> DataFrame:
     """The first row of each key by ``order_by``; null keys form one group.
 
-    Written as a minimum of structs, not as a ranked window: the copies of a hot key are reduced inside
-    every map task, so only one row per key and task is shuffled. ``order_by`` should identify a row,
-    otherwise ties are settled by the remaining columns.
+    The bound on the rank lets every map task keep its first row of a key before the shuffle, so the copies of
+    a hot key never meet in one task, and no row passes through an aggregation buffer. ``order_by`` should
+    identify a row, otherwise ties are settled by a hash of all columns.
     """
-    rest = [c for c in df.columns if c != key and c not in order_by]
-    first = F.min(F.struct(*order_by, *rest)).alias("first")
-    return df.groupBy(key).agg(first).select(*[F.col(key) if c == key else F.col(f"first.{c}") for c in df.columns])
+    tie = F.xxhash64(*df.columns)
+    order = Window.partitionBy(key).orderBy(*order_by, tie)
+    return df.withColumn("_place", F.row_number().over(order)).where(F.col("_place") == 1).drop("_place")
 
 
-def not_yet_collected(reviews: DataFrame, stored_ids: DataFrame, id_column: str = "review_id") -> DataFrame:
-    """Reviews whose id is not stored. Both sides can be large, so the join strategy is left to AQE."""
-    return reviews.join(stored_ids.select(id_column), id_column, "left_anti")
+def not_yet_collected(reviews: DataFrame, stored_ids: DataFrame, id_column: str | list[str] = "review_id") -> DataFrame:
+    """Reviews whose id is not stored; with several columns, nulls equal nulls.
+
+    Both sides can be large, so the join strategy is left to AQE.
+    """
+    if isinstance(id_column, str):
+        return reviews.join(stored_ids.select(id_column), id_column, "left_anti")
+    known = stored_ids.select(*[F.col(c).alias(f"_{c}") for c in id_column])
+    same = [reviews[c].eqNullSafe(known[f"_{c}"]) for c in id_column]
+    return reviews.join(known, same, "left_anti")
 
 
 def reconciliation(reviews: DataFrame, totals: DataFrame, by: str = "hotel_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kuchikomi.domain import SEQUENCE_LENGTH
 from kuchikomi.functions.scores import aspect_index
 from kuchikomi.functions.text import char_length
-from kuchikomi.functions.tokens import attention, char_ids, char_tokens, padded, shown, word_ids, word_tokens
+from kuchikomi.functions.tokens import WORD, attention, char_ids, char_tokens, padded, shown, word_ids, word_tokens
 from kuchikomi.operators.corpus import aspect_corpus
 from kuchikomi.operators.vocabulary import encode
 
@@ -27,7 +27,7 @@ def token_counts(df: DataFrame, column: str, vocabulary: DataFrame, words: Words
         *df.columns,
         char_length(F.col(column)).alias("character"),
         F.size("subword_pieces").cast("bigint").alias("subword"),
-        F.size(words(F.col(column))).cast("bigint").alias("word"),
+        (F.regexp_count(column, F.lit(WORD)) if words is word_tokens else F.size(words(F.col(column)))).cast("bigint").alias("word"),
     )
 
 

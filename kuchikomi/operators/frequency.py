@@ -66,26 +66,13 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
-def value_samples(df: DataFrame, n: int = 20, prefix_chars: int = 16) -> DataFrame:
-    """The first ``n`` distinct values, by value, of every column as text.
+def value_samples(df: DataFrame, n: int = 20) -> DataFrame:
+    """The first ``n`` distinct values, by value, of every column as text; null is a value, the last one.
 
-    All columns share the scan. A first pass over short prefixes finds, per column, the n-th smallest
-    prefix; no value beyond it can be among the first ``n``, so only the few values up to it are made
-    distinct and ranked, and long texts hardly reach the shuffle.
+    All columns share the scan. Copies of a value are reduced in every map task, and so are the distinct ones
+    after them: the constant bound on the rank lets each task keep the first ``n`` of a column.
     """
     as_text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
-    values = as_text.unpivot([], list(df.columns), "column_name", "value")
-    prefix = F.substring("value", 1, prefix_chars)
-    by_prefix = Window.partitionBy("column_name").orderBy(F.asc_nulls_last("prefix"))
-    limits = (
-        values.select("column_name", prefix.alias("prefix"))
-        .distinct()
-        .withColumn("place", F.row_number().over(by_prefix))
-        .where(F.col("place") <= n)
-        .groupBy("column_name")
-        .agg(F.count(F.lit(1)).alias("prefixes"), F.max("prefix").alias("last_prefix"))
-    )
-    small = (F.col("prefixes") < n) | (prefix <= F.col("last_prefix"))
-    candidates = values.join(F.broadcast(limits), "column_name").where(small).select("column_name", "value").distinct()
-    by_whole_value = Window.partitionBy("column_name").orderBy(F.asc_nulls_last("value"))
-    return candidates.withColumn("place", F.row_number().over(by_whole_value)).where(F.col("place") <= n)
+    values = as_text.unpivot([], list(df.columns), "column_name", "value").distinct()
+    by_value = Window.partitionBy("column_name").orderBy(F.asc_nulls_last("value"))
+    return values.withColumn("place", F.row_number().over(by_value)).where(F.col("place") <= n)

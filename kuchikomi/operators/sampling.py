@@ -28,7 +28,7 @@ def inverse_weights(df: DataFrame, label: str, classes: tuple[int, ...] = LABELS
 def class_draws(
     df: DataFrame, label: str, seed: int = SEED, draws: int | None = None, classes: tuple[int, ...] = LABELS
 ) -> DataFrame:
-    """As many draws as rows (or ``draws``): draw id, the class drawn, and the rank drawn in the class.
+    """As many draws as rows, or ``draws``, which may be more: draw id, the class drawn, and the rank drawn in the class.
 
     With weights one over class size every class is drawn with equal probability, and every row of a
     class likewise. Both choices come from the md5 of the seed and the draw id. Draw ids are laid out in
@@ -42,7 +42,7 @@ def class_draws(
         )
     ).scalar()
     total = known["total"]
-    last = (total if draws is None else F.least(total, F.lit(draws))) - 1
+    last = (total if draws is None else F.when(total > 0, F.lit(draws).cast("bigint"))) - 1
     chunks = spark.range(1).where(last >= 0).select(
         F.explode(F.sequence(F.col("id"), last, F.lit(DRAWS_PER_CHUNK).cast("bigint"))).alias("start")
     )
@@ -80,8 +80,9 @@ def balanced_sample(
 def batch_composition(
     df: DataFrame, label: str, seed: int = SEED, batches: int = CHECKED_BATCHES, batch_rows: int = BATCH_ROWS
 ) -> DataFrame:
-    """Class counts of the first batches a balanced sample would deliver. Needs the classes drawn, not the rows."""
-    drawn = class_draws(df, label, seed, batches * batch_rows)
+    """Class counts of the first batches a balanced sample as long as the table delivers. Needs the classes drawn, not the rows."""
+    rows = class_sizes(df, label).agg(F.sum("n")).scalar()
+    drawn = class_draws(df, label, seed, batches * batch_rows).where(F.col("draw_id") < rows)
     batch = F.floor(F.col("draw_id") / batch_rows).cast("bigint").alias("batch")
     return drawn.groupBy(batch, label).agg(F.count(F.lit(1)).alias("n"))
 

@@ -24,22 +24,30 @@ def trend(aspects: DataFrame, by: tuple[str, ...] = (), min_reviews: int = MIN_G
     compares with the previous month that was kept. The window runs over aggregated months only: its
     groups are as long as the calendar, whatever the number of reviews.
     """
-    keys = [*by, "year_month", "aspect"]
+    return _from_sums(month_sums(aspects, by), by, min_reviews)
+
+
+def month_sums(aspects: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and sums per month and aspect (and ``by``, where null is a value), from which trends are made."""
     if "year_month" not in aspects.columns:
         # A strictly parsed time is null only where the text is, so the text is tested instead.
         aspects = with_month(aspects.where(F.col("post_datetime").isNotNull()))
-        tested = [*by, "aspect"]
-    else:
-        tested = keys
-    grouped = (
-        aspects.dropna(subset=tested)
-        .groupBy(*keys)
-        .agg(
-            F.count("review_id").alias("review_count"),
-            F.avg("score").alias("avg_score"),
-            F.avg("sentiment_label").alias("avg_sentiment"),
-        )
-        .where(F.col("review_count") >= min_reviews)
+    return aspects.dropna(subset=["year_month", "aspect"]).groupBy(*by, "year_month", "aspect").agg(
+        F.count("review_id").alias("review_count"),
+        F.count("score").alias("scores"),
+        F.sum("score").alias("score_sum"),
+        F.count("sentiment_label").alias("labels"),
+        F.sum("sentiment_label").alias("label_sum"),
+    )
+
+
+def _from_sums(sums: DataFrame, by: tuple[str, ...], min_reviews: int) -> DataFrame:
+    keys = [*by, "year_month", "aspect"]
+    grouped = sums.dropna(subset=keys).where(F.col("review_count") >= min_reviews).select(
+        *keys,
+        "review_count",
+        F.try_divide("score_sum", "scores").alias("avg_score"),
+        F.try_divide("label_sum", "labels").alias("avg_sentiment"),
     )
     months = Window.partitionBy(*by, "aspect").orderBy("year_month")
     return grouped.select(
@@ -60,6 +68,17 @@ def hotel_trend(aspects: DataFrame, min_reviews: int = MIN_GROUP_REVIEWS) -> Dat
     return trend(aspects, ("hotel_name",), min_reviews)
 
 
+def trends_of_both_levels(aspects: DataFrame, min_reviews: int = MIN_GROUP_REVIEWS) -> tuple[DataFrame, DataFrame]:
+    """The global and the hotel trend from one pass: sums per hotel are rolled up, rows without a hotel included.
+
+    The sums, a row per hotel, month and aspect, are kept for the caller to unpersist with the second result.
+    """
+    sums = month_sums(aspects, ("hotel_name",)).persist()
+    added = [F.sum(c).alias(c) for c in ("review_count", "scores", "score_sum", "labels", "label_sum")]
+    overall = sums.groupBy("year_month", "aspect").agg(*added)
+    return _from_sums(overall, (), min_reviews), _from_sums(sums, ("hotel_name",), min_reviews)
+
+
 def in_trend_order(trends: DataFrame) -> DataFrame:
     """Sorted by hotel (if any), aspect and month, for a sink."""
     keys = [c for c in ("hotel_name", "aspect", "year_month") if c in trends.columns]

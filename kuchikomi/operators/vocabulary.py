@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,8 @@ def train_vocabulary(
     length, ties by piece. Every character is kept, so the table exceeds ``size`` if the corpus has more
     characters than that. N-grams are taken from distinct segments weighted by their count, not from every
     text. Characters and n-grams read the segments unfiltered, so that one shuffle of them serves both.
-    The final numbering runs over the characters and at most ``size`` pieces.
+    Pieces have at most ``max_chars`` characters. The final numbering runs in one task over the characters
+    and at most ``size`` pieces, which is bounded by the script and the parameter, not by the corpus.
     """
     counted = segments(texts, column)
     chars = (
@@ -41,9 +44,10 @@ def train_vocabulary(
         .groupBy("piece")
         .agg(F.sum("n").alias("n"))
     )
-    grams = F.flatten(F.array(*[_grams(F.col("segment"), k) for k in range(2, max_chars + 1)]))
+    # One length at a time: a long segment is never expanded to the n-grams of all lengths in one row.
+    by_length = [counted.select(F.explode(_grams(F.col("segment"), k)).alias("piece"), "n") for k in range(2, max_chars + 1)]
     longer = (
-        counted.select(F.explode(grams).alias("piece"), "n")
+        reduce(DataFrame.union, by_length)
         .groupBy("piece")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc(F.col("n") * F.length("piece")), "piece")
@@ -91,7 +95,9 @@ def matcher(vocabulary: DataFrame) -> Column:
 
 
 def _quoted(text: Column) -> Column:
-    return F.when(text == "", "").otherwise(F.concat(F.lit(r"\Q"), text, F.lit(r"\E")))
+    """The text as a pattern for itself; what ends a quotation is quoted by hand."""
+    inner = F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    return F.when(text == "", "").otherwise(F.concat(F.lit(r"\Q"), inner, F.lit(r"\E")))
 
 
 def _ordered(use: Column, pattern: Column) -> Column:
@@ -101,7 +107,7 @@ def _ordered(use: Column, pattern: Column) -> Column:
 
 
 def _branch(head: str, patterns: str) -> Column:
-    return F.concat(head, F.lit("(?:"), F.array_join(patterns, "|"), F.lit(")"))
+    return F.concat(_quoted(F.col(head)), F.lit("(?:"), F.array_join(patterns, "|"), F.lit(")"))
 
 
 def id_table(vocabulary: DataFrame, slots: int = LOOKUP_SLOTS) -> Column:

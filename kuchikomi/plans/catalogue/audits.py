@@ -9,9 +9,11 @@ from kuchikomi.domain import ASPECTS
 from kuchikomi.functions.time import parse_lenient
 from kuchikomi.operators import audit, duplicates, frequency
 from kuchikomi.operators.corpus import flatten_scores
+from kuchikomi.operators.corpus import usable_comments as usable
 from kuchikomi.plans import views
 from kuchikomi.plans.catalogue.registry import query
-from kuchikomi.sources import assets
+from kuchikomi.session import fresh_path
+from kuchikomi.sources import assets, sinks
 
 # Fixture for date audits: pending orders carry a word instead of a date, returned ones none at all.
 DATED_SQL = """
@@ -106,10 +108,13 @@ def repeated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "A5",
-    "select sum(n - 1)::bigint as repeated_rows from (select lang, text, count(*) as n from documents group by lang, text)",
+    """with twice as (select * from documents union all select * from documents where doc_id % 3 = 0)
+       select sum(n - 1)::bigint as repeated_rows from (select count(*) as n from twice group by doc_id, text, lang, source, n_chars)""",
 )
 def repeated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.repeated_rows(views.table(spark, sf_dir, "documents").select("lang", "text"))
+    """Rows equal in all columns; a third of the documents is given twice."""
+    documents = views.table(spark, sf_dir, "documents")
+    return audit.repeated_rows(documents.union(documents.where("doc_id % 3 = 0")))
 
 
 @query(
@@ -194,18 +199,30 @@ def empty_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.empty_texts(views.table(spark, sf_dir, "documents"), "text")
 
 
+# Texts of 0 to 7 characters, null for every ninth document: both sides of the limit of 5.
+_SHORT_SQL = "with short as (select case when doc_id % 9 > 0 then substr(text, 1, doc_id % 8) end as text from documents)"
+_SHORT = "case when doc_id % 9 > 0 then substring(text, 1, cast(doc_id % 8 as int)) end"
+
+
 @query(
     "A18 P16 F1",
     f"""
+    {_SHORT_SQL}
     select count(*) as total_rows, count(*) filter (text is null or {views.strip_sql('text')} = '') as null_or_empty,
            100.0::double * count(*) filter (text is null or {views.strip_sql('text')} = '') / count(*) as null_or_empty_pct,
-           count(*) filter (length({views.strip_sql('text')}) < 400) as short_with_empty,
-           100.0::double * count(*) filter (length({views.strip_sql('text')}) < 400) / count(*) as short_with_empty_pct
-    from documents""",
+           count(*) filter (length({views.strip_sql('text')}) < 5) as short_with_empty,
+           100.0::double * count(*) filter (length({views.strip_sql('text')}) < 5) / count(*) as short_with_empty_pct
+    from short""",
 )
 def missing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short means below 400 characters here, since no test document is below 5."""
-    return audit.missing_texts(views.table(spark, sf_dir, "documents"), "text", short=400)
+    return audit.missing_texts(views.table(spark, sf_dir, "documents").withColumn("text", F.expr(_SHORT)), "text")
+
+
+@query("F1", f"{_SHORT_SQL} select text, count(*) as n from short where length({views.strip_sql('text')}) >= 5 group by text")
+def usable_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of just enough characters."""
+    rows = views.table(spark, sf_dir, "documents").withColumn("comment", F.expr(_SHORT))
+    return usable(rows).groupBy(F.col("comment").alias("text")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -303,23 +320,26 @@ def cross_hotel_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duplicate_summary_by_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The check as run on the aspect corpus: rows of a review are first reduced to one."""
     flat = flatten_scores(views.reviews(spark, sf_dir, comments=True))
-    rows = flat.select("review_id", "hotel_name", "comment", F.explode(F.array("room", "bath")).alias("score"))
+    rows = flat.select("review_id", "hotel_name", "comment", F.explode(F.array(*ASPECTS)).alias("score"))
     return duplicates.duplicate_summary(rows)
 
 
-_SAMPLED = ("lang", "source", "text")
+_SAMPLED = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 @query(
     "A30",
-    " union all ".join(
-        f"""select * from (select '{c}' as column_name, value, (row_number() over (order by value))::integer as place
-            from (select distinct {c} as value from documents)) where place <= 20"""
+    "with named as (select * replace (case when source <> 'src7' then source end as source) from documents) "
+    + " union all ".join(
+        f"""select * from (select '{c}' as column_name, value, (row_number() over (order by value nulls last))::integer as place
+            from (select distinct {c}::varchar as value from named)) where place <= 20"""
         for c in _SAMPLED
     ),
 )
 def value_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.value_samples(views.table(spark, sf_dir, "documents").select(*_SAMPLED))
+    """Every column; one has exactly as many values as are asked for, null among them."""
+    named = F.when(F.col("source") != "src7", F.col("source"))
+    return frequency.value_samples(views.table(spark, sf_dir, "documents").withColumn("source", named).select(*_SAMPLED))
 
 
 _SCHEMA = (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"))
@@ -343,6 +363,10 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ASSETS = ("documents", "labels", "embeddings", "absent")
 
 
+# A stored table whose columns say what the audit looks for, in several cases.
+_RENAMED = {"source": "Provider_Name", "lang": "roomType", "n_chars": "SCORE_total", "doc_id": "id", "text": "HOTEL"}
+
+
 @query(
     "S15 P24",
     " union all ".join(
@@ -352,10 +376,15 @@ _ASSETS = ("documents", "labels", "embeddings", "absent")
             '' as aspect_columns, '' as hotel_columns"""
         for a in _ASSETS[:3]
     )
-    + " union all select 'absent', false, 0, 0, '', '', ''",
+    + f""" union all select 'renamed', true, (select count(*) from documents), 5, '{", ".join(_RENAMED.values())}',
+           'roomType, SCORE_total', 'Provider_Name, HOTEL'
+           union all select 'absent', false, 0, 0, '', '', ''""",
 )
 def asset_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assets.asset_overview(spark, {a: f"{sf_dir}/{a}.parquet" for a in _ASSETS})
+    renamed = fresh_path(spark, "renamed")
+    documents = views.table(spark, sf_dir, "documents")
+    sinks.write_parquet(documents.select(*[F.col(c).alias(n) for c, n in _RENAMED.items()]), renamed)
+    return assets.asset_overview(spark, {a: f"{sf_dir}/{a}.parquet" for a in _ASSETS} | {"renamed": renamed})
 
 
 @query(

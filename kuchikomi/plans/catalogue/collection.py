@@ -12,7 +12,7 @@ from kuchikomi.plans import views
 from kuchikomi.plans.catalogue.registry import query
 from kuchikomi.session import fresh_path
 from kuchikomi.sources import pages, review_lines, sinks
-from kuchikomi.streaming.ingest import ingest
+from kuchikomi.streaming.ingest import collected, ingest
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def page_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def first_seen_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each review once, from the first page and position that shows it."""
-    reviews = collection.identified(pages.page_reviews(_extracted(spark, sf_dir)))
+    reviews = collection.identified(pages.page_reviews(_extracted(spark, sf_dir))).select("id", "page_id", "position")
     first = collection.first_per_key(reviews, "id", ["page_id", "position"])
     return first.select(F.col("id").alias("review_id"), "page_id", "position")
 
@@ -146,28 +146,46 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "R1 S10 F7 F8 J2",
-    """select doc_id::varchar as id, source as hotel_name, md5(text) as text_digest from documents
-       where doc_id not in (select doc_id from broken)""",
+    """select doc_id::varchar as id, source as hotel_id, source as hotel_name, md5(text) as text_digest from documents
+       where doc_id not in (select doc_id from broken)
+       union all select doc_id::varchar, 'other', source, md5(text) from documents
+       where doc_id not in (select doc_id from broken) and doc_id % 10 = 0""",
     (views.BROKEN_SQL,),
 )
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two deliveries of review lines streamed into one table; the second repeats the first."""
+    """Two deliveries of review files streamed into one table; the second repeats the first and brings some ids to another hotel."""
     source, table, checkpoint = (fresh_path(spark, n) for n in ("arriving", "collected", "progress"))
     lines = views.review_lines(spark, sf_dir)
     known = views.table(spark, sf_dir, "labels")
-    for delivery in (lines.join(known, "doc_id", "left_semi"), lines):
-        delivery.select("line").write.mode("append").text(source)
-        ingest(spark, source, table, checkpoint).awaitTermination()
-    return spark.read.parquet(table).select("id", F.col("provider.name").alias("hotel_name"), F.md5("comment").alias("text_digest"))
+    elsewhere = lines.where("doc_id % 10 = 0").withColumn("file_name", F.lit("hotel_other_reviews.jsonl"))
+    for delivery in (lines.join(known, "doc_id", "left_semi"), lines.unionByName(elsewhere)):
+        sinks.append_text(delivery, "line", source, split_column="file_name")
+        ingest(spark, f"{source}/*", table, checkpoint).awaitTermination()
+    held = collected(spark, table)
+    return held.select("id", "hotel_id", F.col("provider.name").alias("hotel_name"), F.md5("comment").alias("text_digest"))
 
 
 @query(
     "S12",
-    "select page_id, doc_id::varchar as id from on_page",
+    """select page_id, position, doc_id::varchar as id, lang as title, text as comment, (n_chars % 5 + 1)::double as overall_score,
+              '2024-03-01T08:00:00+09:00' as posted, source as hotel_name, 5 as entries, (n_chars % 6)::double as room
+       from on_page""",
     (views.PAGES_SQL,),
 )
 def stored_page_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews of all pages written as JSON lines and read back."""
+    """Reviews of all pages written as JSON lines and read back whole."""
     path = fresh_path(spark, "page-reviews")
-    sinks.write_json(pages.page_reviews(_extracted(spark, sf_dir)), path)
-    return spark.read.schema("page_id bigint, id string").json(path)
+    written = pages.page_reviews(_extracted(spark, sf_dir))
+    sinks.write_json(written, path)
+    return spark.read.schema(written.schema).json(path).select(
+        "page_id",
+        "position",
+        "id",
+        "title",
+        "comment",
+        F.col("overallScore").alias("overall_score"),
+        F.col("postDateTime").alias("posted"),
+        F.col("provider.name").alias("hotel_name"),
+        F.size("scores").alias("entries"),
+        F.try_element_at("scores", F.lit(4))["score"].alias("room"),
+    )

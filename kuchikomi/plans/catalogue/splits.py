@@ -155,6 +155,21 @@ def balanced_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.balanced_sample(rows, "row_key", "sentiment_label")
 
 
+@query(
+    "D4 (more draws than rows)",
+    """
+    with sizes as (select quality, count(*) as n, row_number() over (order by quality) - 1 as idx, count(*) over () as k
+                   from labels group by quality),
+    draws as (select draw_id, md5('42|' || draw_id) as h from (select unnest(range(3 * (select count(*) from documents))) as draw_id))
+    select d.draw_id, s.quality, floor(('0x' || substr(d.h, 14, 13))::bigint::double / 4503599627370496::double * s.n)::bigint + 1 as rank
+    from draws d join sizes s on s.idx = floor(('0x' || substr(d.h, 1, 13))::bigint::double / 4503599627370496::double * s.k)""",
+)
+def oversampled_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three draws for every document out of the fewer labelled ones."""
+    draws = 3 * views.table(spark, sf_dir, "documents").count()
+    return sampling.class_draws(views.quality_rows(spark, sf_dir), "quality", draws=draws, classes=(0, 1))
+
+
 @query(
     "A31 D4",
     """select draw_id // 8 as batch, sentiment_label, count(*) as n from drawn where draw_id < 160

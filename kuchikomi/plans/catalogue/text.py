@@ -164,8 +164,8 @@ def conversation_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FEATURE_TEXT_SQL = f"""
 conditioned as (
-  select review_id, aspect, aspect_idx, sentiment_label as label, '[' || aspect || '] ' as bracket, comment
-  from rated_rows where length({views.strip_sql('comment')}) >= 5)
+  select r.review_id, r.aspect, r.aspect_idx, r.sentiment_label as label, '[' || r.aspect || '] ' as bracket, d.text as comment
+  from rated_rows r join (select * from documents where length({views.strip_sql('text')}) >= 5) d on d.doc_id = r.doc_id)
 """
 
 

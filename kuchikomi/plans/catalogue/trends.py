@@ -39,6 +39,20 @@ def hotel_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.in_trend_order(trends.hotel_trend(views.rated_rows(spark, sf_dir, months=True)))
 
 
+@query(
+    "A9 A10 W1 W2 (one scan)",
+    f"""
+    , {GLOBAL_SQL.strip().replace("months as", "all_months as").replace("from months", "from all_months").replace("grouped", "all_grouped").replace("trend as", "all_trend as")},
+    {HOTEL_SQL.strip()}
+    select null as hotel_name, * from all_trend union all by name select * from trend""",
+    (views.REVIEWS_SQL,),
+)
+def trends_both_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The global and the hotel trend from the same sums."""
+    overall, hotels = trends.trends_of_both_levels(views.rated_rows(spark, sf_dir, months=True))
+    return overall.withColumn("hotel_name", F.lit(None).cast("string")).unionByName(hotels)
+
+
 _MOVERS = "select * from trend order by score_delta {} nulls last, aspect, year_month limit 3"
 
 

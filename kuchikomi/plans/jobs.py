@@ -27,7 +27,7 @@ from kuchikomi.operators import (
 )
 from kuchikomi.session import fresh_path, prepare
 from kuchikomi.sources import assets, delimited, pages, review_lines, sinks
-from kuchikomi.streaming.ingest import append_new, ingest
+from kuchikomi.streaming.ingest import append_new, collected, ingest
 
 Reports = dict[str, DataFrame]
 
@@ -47,12 +47,15 @@ def collect_pages(spark: SparkSession, pages_path: str, output: str) -> Reports:
 
     The copy on the earliest page wins. The report compares what is held with what the pages say exists.
     """
-    extracted = pages.extract_pages(_table(spark, pages_path))
+    decoded = fresh_path(spark, "decoded-pages")
+    sinks.write_parquet(pages.extract_pages(_table(spark, pages_path)), decoded)  # markup is decoded once for all reports
+    extracted = spark.read.parquet(decoded)
     found = collection.identified(pages.page_reviews(extracted))
-    first = collection.first_per_key(found, "id", ["page_id", "position"])
-    append_new(first.drop("page_id", "position", "reported_total"), output)
-    held = spark.read.parquet(output).select("hotel_id", F.col("id").alias("review_id"))
+    first = collection.first_per_key(found, ["hotel_id", "id"], ["page_id", "position"])
+    added = append_new(first.drop("page_id", "position", "reported_total"), output)
+    held = collected(spark, output).select("hotel_id", F.col("id").alias("review_id"))
     return {
+        "run": extracted.agg(F.count(F.lit(1)).alias("pages")).withColumn("reviews_added", F.lit(added).cast("bigint")),
         "remaining": collection.reconciliation(held, extracted),
         "unreadable": pages.unreadable_pages(extracted),
         "page_ends": pages.page_ends(extracted),
@@ -62,15 +65,21 @@ def collect_pages(spark: SparkSession, pages_path: str, output: str) -> Reports:
 def collect_lines(spark: SparkSession, source: str, output: str, checkpoint: str) -> Reports:
     """Add the review lines that arrived in ``source`` since the last run, each id once."""
     ingest(prepare(spark), source, output, checkpoint).awaitTermination()
-    held = spark.read.parquet(output)
+    held = collected(spark, output)
     return {"held": held.groupBy("hotel_id").agg(F.count(F.lit(1)).alias("reviews"))}
 
 
 def build_research(spark: SparkSession, lines: str, output: str, source: str) -> Reports:
-    """Raw review lines to the research corpus; the report counts lines read, written and skipped per hotel."""
-    parsed = review_lines.parse_review_lines(review_lines.read_review_lines(prepare(spark), lines))
+    """Raw review lines to the research corpus; reports count files and lines read, written and skipped per hotel."""
+    decoded = fresh_path(spark, "decoded-lines")
+    sinks.write_parquet(review_lines.parse_review_lines(review_lines.read_review_lines(prepare(spark), lines)), decoded)
+    parsed = spark.read.parquet(decoded)  # lines are decoded once for the corpus and all reports
     sinks.write_parquet(corpus.research_corpus(review_lines.accepted(parsed), source), output)
-    return {"ingest": review_lines.ingest_audit(parsed), "rejected": review_lines.rejected(parsed)}
+    return {
+        "ingest": review_lines.ingest_audit(parsed),
+        "files": review_lines.files_read(spark, lines),
+        "rejected": review_lines.rejected(parsed),
+    }
 
 
 def build_aspects(spark: SparkSession, research: str, output: str) -> Reports:
@@ -116,9 +125,10 @@ def analyse_trends(spark: SparkSession, aspects: str, output: str) -> Reports:
     """Monthly trends overall and per hotel, stored below ``output``; the largest moves as report."""
     rows = _table(spark, aspects)
     overall, hotels = f"{output}/global", f"{output}/hotel"
-    found = trends.in_trend_order(trends.global_trend(rows))
+    both, by_hotel = trends.trends_of_both_levels(rows)
+    found = trends.in_trend_order(both)
     sinks.write_csv(found, overall)
-    sinks.write_csv(trends.in_trend_order(trends.hotel_trend(rows)), hotels)
+    sinks.write_csv(trends.in_trend_order(by_hotel), hotels)
     stored = delimited.read_csv(spark, overall, found.schema)
     return {
         "rises": trends.top_movers(stored),
@@ -172,9 +182,16 @@ def audit_assets(spark: SparkSession, **assets_by_name: str) -> Reports:
     }
 
 
-def build_vocabulary(spark: SparkSession, texts: str, output: str, column: str = "comment", size: int = SUBWORD_VOCABULARY) -> Reports:
-    """Train and store the subword vocabulary of a text column."""
-    sinks.write_parquet(vocabulary.train_vocabulary(_table(spark, texts), column, int(size)), output)
+def build_vocabulary(
+    spark: SparkSession,
+    texts: str,
+    output: str,
+    column: str = "comment",
+    size: int = SUBWORD_VOCABULARY,
+    max_chars: int = vocabulary.MAX_PIECE_CHARS,
+) -> Reports:
+    """Train and store the subword vocabulary of a text column; pieces have at most ``max_chars`` characters."""
+    sinks.write_parquet(vocabulary.train_vocabulary(_table(spark, texts), column, int(size), int(max_chars)), output)
     return {"head": vocabulary.vocabulary_head(spark.read.parquet(output))}
 
 

@@ -14,20 +14,19 @@ from kuchikomi.functions.tokens import SEGMENT, WORD
 from kuchikomi.operators.corpus import aspect_corpus, flatten_scores, unpivot_aspects, with_sentiment
 from kuchikomi.operators.trends import with_month
 from kuchikomi.operators.vocabulary import MAX_PIECE_CHARS, train_vocabulary
-from kuchikomi.session import fresh_path, prepare
-from kuchikomi.sources.layout import spread
-from kuchikomi.sources.sinks import write_parquet
+from kuchikomi.session import prepare
 
 NAMELESS_HOTEL = 24
 
 
-# Key columns by which tables stored in a single piece are spread over the cores.
+# The test tables lie in a single row group each, which one task reads; these are always spread by a key.
+FIXTURE_PARTITIONS = 8
 SPREAD_BY = {"orders": "o_orderkey", "documents": "doc_id", "lineitem": "l_orderkey", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     stored = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(stored, SPREAD_BY[name]) if name in SPREAD_BY else stored
+    return stored.repartition(FIXTURE_PARTITIONS, SPREAD_BY[name]) if name in SPREAD_BY else stored
 
 
 # --- reviews: one per order, hotels are nations, comments are documents -----------------------------
@@ -71,10 +70,11 @@ def reviews(spark: SparkSession, sf_dir: str, comments: bool = False) -> DataFra
     return flat.withColumn("scores", F.create_map(*[part for a in ASPECTS for part in (F.lit(a), _score(a))]))
 
 
-def aspect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def aspect_rows(spark: SparkSession, sf_dir: str, comments: bool = False) -> DataFrame:
     """All eight rows of every review, unrated ones included, labelled."""
-    flat = flatten_scores(reviews(spark, sf_dir))
-    return with_sentiment(unpivot_aspects(flat, ["hotel_id", "hotel_name", "review_id", "post_datetime"]))
+    flat = flatten_scores(reviews(spark, sf_dir, comments))
+    kept = ["hotel_id", "hotel_name", "review_id", "post_datetime", *(["comment"] if comments else [])]
+    return with_sentiment(unpivot_aspects(flat, kept))
 
 
 def rated_rows(spark: SparkSession, sf_dir: str, months: bool = False) -> DataFrame:
@@ -87,17 +87,18 @@ def rated_rows(spark: SparkSession, sf_dir: str, months: bool = False) -> DataFr
 _ASPECT_VALUES = ", ".join(f"({i}, '{a}')" for i, a in enumerate(ASPECTS))
 
 REVIEWS_SQL = f"""
-reviews as (
+numbered_reviews as (
   select n.n_nationkey::varchar as hotel_id, o.o_orderkey::varchar as review_id,
          case when n.n_nationkey <> {NAMELESS_HOTEL} then n.n_name end as hotel_name,
          strftime(o.o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+09:00' as post_datetime,
-         o.o_orderdate - interval 9 hour as post_utc, o.o_orderstatus as status, d.text as comment
-  from orders o join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey
-  left join documents d on d.doc_id = o.o_orderkey % (select count(*) from documents)),
+         o.o_orderdate - interval 9 hour as post_utc, o.o_orderstatus as status,
+         o.o_orderkey % (select count(*) from documents) as doc_id
+  from orders o join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey),
+reviews as (select r.*, d.text as comment from numbered_reviews r left join documents d on d.doc_id = r.doc_id),
 slots as (
   select r.*, a.aspect_idx::integer as aspect_idx, a.aspect,
          ('0x' || substr(md5(r.review_id || '|' || a.aspect), 1, 8))::bigint % 100 as slot
-  from reviews r cross join (values {_ASPECT_VALUES}) a(aspect_idx, aspect)),
+  from numbered_reviews r cross join (values {_ASPECT_VALUES}) a(aspect_idx, aspect)),
 scored as (
   select *, (case when slot < 10 then 0.0 when slot < 12 then 1.0 when slot < 14 then 2.0 when slot < 26 then 3.0
                   when slot < 27 then 2.5 when slot < 28 then null when slot < 60 then 4.0 else 5.0 end)::double as score
@@ -259,11 +260,15 @@ predictions as (
 # --- vocabulary ------------------------------------------------------------------------------------
 
 
+_VOCABULARIES: dict[tuple[str, str], DataFrame] = {}
+
+
 def stored_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vocabulary of all documents, trained and stored once, then read back."""
-    path = fresh_path(spark, "vocabulary")
-    write_parquet(train_vocabulary(table(spark, sf_dir, "documents"), "text"), path)
-    return spark.read.parquet(path)
+    """The vocabulary of all documents, trained once per session and folder and kept in memory: it is small by construction."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VOCABULARIES:
+        _VOCABULARIES[key] = train_vocabulary(table(spark, sf_dir, "documents"), "text").persist()
+    return _VOCABULARIES[key]
 
 
 def _re2(pattern: str) -> str:

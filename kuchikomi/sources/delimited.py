@@ -1,25 +1,50 @@
-"""CSV and TSV files; schemas are always given, never inferred."""
+"""CSV and TSV files; schemas are always given, never inferred.
+
+Spark cannot split a file whose records may span lines, so ``multi_line`` reads each file in one task. It is
+an option for exchange files; tables between jobs are Parquet.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kuchikomi.domain import ASPECT_ROWS, LABELLED
+from kuchikomi.domain import ASPECT_ROWS, LABELLED, NULL_TEXT
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str = ASPECT_ROWS) -> DataFrame:
-    """A headered CSV; quoted fields may hold quotes, commas and line breaks."""
+def _reader(spark: SparkSession, multi_line: bool, null_text: str):
     return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("quote", '"')
+        spark.read.option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", True)
-        .csv(path)
+        .option("multiLine", multi_line)
+        .option("nullValue", null_text)
+        .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
     )
 
 
-def read_labelled_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled sentences: tab-separated, no header, columns id, label, text, annotation, split."""
-    return spark.read.schema(LABELLED).option("sep", "\t").option("escape", '"').csv(path)
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str = ASPECT_ROWS,
+    multi_line: bool = False,
+    null_text: str = NULL_TEXT,
+) -> DataFrame:
+    """A headered CSV; texts keep their blanks, quotes and commas, and line breaks with ``multi_line``.
+
+    ``null_text`` stands for null, as ``sinks.write_csv`` writes it; files of other programs often leave null empty
+    and need the empty string here.
+    """
+    return _reader(spark, multi_line, null_text).schema(schema).option("header", True).csv(path)
+
+
+def read_labelled_tsv(spark: SparkSession, path: str, multi_line: bool = False, null_text: str = NULL_TEXT) -> DataFrame:
+    """Labelled sentences: tab-separated, no header, columns id, label, text, annotation, split.
+
+    A label may be written as a whole number or with decimals; anything else becomes null.
+    """
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in LABELLED.fields])
+    rows = _reader(spark, multi_line, null_text).schema(as_text).option("sep", "\t").csv(path)
+    return rows.withColumn("label", F.col("label").try_cast("double").try_cast("int"))

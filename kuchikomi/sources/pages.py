@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kuchikomi.domain import (
     CONTENTS_MARKER,
@@ -13,11 +12,12 @@ from kuchikomi.domain import (
     PAGINATION_URL_CHARS,
     PAGINATION_URL_PARTS,
     PAGINATION_URLS_SHOWN,
-    RAW_REVIEW,
     TOTAL_MARKER,
 )
 from kuchikomi.functions.text import WHITESPACE
+from kuchikomi.sources.review_json import decoded_array
 
+# What counts as a URL in page markup; the set of blanks is wider.
 URL = rf"""https?[^"'<>{WHITESPACE}]+"""
 
 
@@ -60,7 +60,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     return listed.select(
         *kept,
         F.trim(between(F.col("_list"), TOTAL_MARKER, ",")).try_cast("bigint").alias("reported_total"),
-        F.from_json(embedded_array(F.col("_list"), CONTENTS_MARKER), T.ArrayType(RAW_REVIEW)).alias("reviews"),
+        decoded_array(embedded_array(F.col("_list"), CONTENTS_MARKER)).alias("reviews"),
     )
 
 

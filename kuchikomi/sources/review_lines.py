@@ -4,38 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from kuchikomi.domain import CORRUPT, RAW_REVIEW, RESEARCH
+from kuchikomi.domain import CORRUPT, RESEARCH
 from kuchikomi.functions.text import filled, strip
+from kuchikomi.sources import review_json
 
 HOTEL_FILE = r"hotel_([^/]+)_reviews\.jsonl"
 
 
 def hotel_of_file(file_name: Column) -> Column:
-    """The hotel id in a file name ``hotel_<id>_reviews.jsonl``, null for any other name."""
+    """The hotel id in a path with a file or folder ``hotel_<id>_reviews.jsonl``, null for any other path."""
     return F.nullif(F.regexp_extract(file_name, HOTEL_FILE, 1), F.lit(""))
 
 
 def read_review_lines(spark: SparkSession, path: str) -> DataFrame:
-    """All lines below ``path`` (a folder, glob or file) with the file each came from."""
-    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("line"))
+    """All lines below ``path`` (a folder, glob or file) with the path of the file each came from."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file_name"), F.col("value").alias("line"))
+
+
+def files_read(spark: SparkSession, path: str) -> DataFrame:
+    """Number of files per hotel below ``path``, those without a usable line included; contents are not read."""
+    names = spark.read.format("binaryFile").load(path).select(hotel_of_file(F.col("path")).alias("hotel_id"))
+    return names.groupBy("hotel_id").agg(F.count(F.lit(1)).alias("files"))
 
 
 def parse_review_lines(lines: DataFrame) -> DataFrame:
-    """Decode ``(file_name, line)``; a malformed line keeps its text in the corrupt column.
+    """Decode ``(file_name, line)``; a line that is no JSON object keeps its text in the corrupt column.
 
-    Blank lines are dropped before anything is counted.
+    A field of an unexpected type is converted or becomes null; it does not cost the review. Blank lines are
+    dropped before anything is counted.
     """
-    schema = T.StructType([*RAW_REVIEW.fields, T.StructField(CORRUPT, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    review, line = F.col("_review"), F.col("line")
     return (
-        lines.where(strip(F.col("line")) != "")
-        .select(
-            hotel_of_file(F.col("file_name")).alias("hotel_id"),
-            F.from_json("line", schema, options).alias("review"),
-        )
-        .select("hotel_id", "review.*")
+        lines.where(strip(line) != "")
+        .select(hotel_of_file(F.col("file_name")).alias("hotel_id"), "line", review_json.decoded(line).alias("_review"))
+        .select("hotel_id", *review_json.typed(review), F.when(~review_json.is_object(line, review), line).alias(CORRUPT))
     )
 
 

@@ -11,8 +11,10 @@ from kuchikomi.operators.collection import first_per_key, identified, not_yet_co
 from kuchikomi.sources.assets import open_asset
 from kuchikomi.sources.review_lines import accepted, parse_review_lines
 
-# A batch of ids up to this many rows, some tens of megabytes, may be broadcast.
-BROADCAST_ROWS = 500_000
+# An id is unique within its hotel. Stored reviews lie in folders by a hash of both.
+KEY = ["hotel_id", "id"]
+BUCKETS = 64
+BUCKET = "bucket"
 
 
 def read_line_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -20,7 +22,7 @@ def read_line_stream(spark: SparkSession, path: str, max_files: int | None = Non
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("line"))
+    return reader.load(path).select(F.col("_metadata.file_path").alias("file_name"), F.col("value").alias("line"))
 
 
 def new_reviews(lines: DataFrame) -> DataFrame:
@@ -29,45 +31,49 @@ def new_reviews(lines: DataFrame) -> DataFrame:
 
 
 def unique_stream(reviews: DataFrame, time_column: str | None = None, lateness: str | None = None) -> DataFrame:
-    """A stream with each id once, by state store.
+    """A stream with each id of a hotel once, by state store.
 
     The state grows with the ids unless a time column and a lateness bound are given. Which copy of an id
     survives is not defined; ``append_new`` settles that too.
     """
     if time_column and lateness:
-        return reviews.withWatermark(time_column, lateness).dropDuplicatesWithinWatermark(["id"])
-    return reviews.dropDuplicates(["id"])
+        return reviews.withWatermark(time_column, lateness).dropDuplicatesWithinWatermark(KEY)
+    return reviews.dropDuplicates(KEY)
 
 
-def append_new(batch: DataFrame, table: str, broadcast_rows: int = BROADCAST_ROWS) -> int:
-    """Append to ``table`` the reviews of a batch whose ids it does not hold; return how many were added.
+def append_new(batch: DataFrame, table: str) -> int:
+    """Append to ``table`` the reviews of a batch whose (hotel, id) it does not hold; return how many were added.
 
-    Of several copies the lowest hotel, post time and remaining columns wins. Copies are reduced before
-    the shuffle, so a batch full of one id does not end in one task. The table itself is the memory: a
-    batch run again after a failure finds its ids stored and adds nothing. The stored ids are only
-    scanned, not shuffled, while the batch is small enough to be broadcast to them; a larger batch is
-    joined by shuffle.
+    Of several copies the one with the earliest post time and then the smallest hash wins. The table itself is the
+    memory: a batch run again after a failure finds its ids stored and adds nothing. Only the keys in the folders
+    the batch touches are read, once, and joined as AQE sees fit.
     """
     spark = batch.sparkSession
-    order = [c for c in ("hotel_id", "postDateTime") if c in batch.columns]
-    unique = first_per_key(batch, "id", order).persist(StorageLevel.MEMORY_AND_DISK)
+    if "hotel_id" not in batch.columns:
+        batch = batch.withColumn("hotel_id", F.lit(None).cast("string"))
+    order = [c for c in ("postDateTime",) if c in batch.columns]
+    placed = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int"))
+    unique = first_per_key(placed, KEY, order).persist(StorageLevel.MEMORY_AND_DISK)
+    new, stored = unique, open_asset(spark, table)
     try:
-        rows = unique.count()
-        stored = open_asset(spark, table)
-        if stored is None:
-            new = unique
-        else:
-            ids = unique.select("id")
-            known = stored.select("id").join(F.broadcast(ids) if rows <= broadcast_rows else ids, "id", "left_semi")
-            new = not_yet_collected(unique, known, "id")
-            rows -= known.count()
+        if stored is not None:
+            touched = [r[BUCKET] for r in unique.select(BUCKET).distinct().collect()]  # at most BUCKETS values
+            new = not_yet_collected(unique, stored.where(F.col(BUCKET).isin(touched)), KEY).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = new.count()
         if rows:
-            new.write.mode("append").parquet(table)
+            # One file per folder and batch: the rows of a folder are brought together before they are written.
+            new.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(table)
         return rows
     finally:
+        new.unpersist()
         unique.unpersist()
 
 
+def collected(spark: SparkSession, table: str) -> DataFrame:
+    """The reviews stored by ``append_new``."""
+    return spark.read.parquet(table).drop(BUCKET)
+
+
 def ingest(spark: SparkSession, source: str, table: str, checkpoint: str, max_files: int | None = None) -> StreamingQuery:
     """Process the files that have arrived since the last run, then stop."""
     return (

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from kuchikomi import session
 from kuchikomi.domain import ASPECT_ROWS
 from kuchikomi.operators import corpus
-from kuchikomi.sources import assets, delimited, layout, pages, review_lines, sinks
+from kuchikomi.sources import assets, delimited, pages, review_lines, sinks
 
-AWKWARD = ["部屋は「良い」、とても\n静か😀", 'she said "hi", then\tleft', "a,b", "x\\y", "'quoted'"]
+AWKWARD = ["  lead", "trail \t", "", None, "\nbreak\n", "部屋は「良い」、とても\n静か😀", 'she said "hi", then\tleft', "a,b", "x\\y", "'quoted'"]
 
 
 @pytest.fixture
@@ -68,15 +68,15 @@ def test_csv_keeps_awkward_texts(spark, tmp_path):
     rows = [("h", "宿", str(i), t, "2024-01-01", "room", 4.0, 2) for i, t in enumerate(AWKWARD)]
     path = str(tmp_path / "csv")
     sinks.write_csv(spark.createDataFrame(rows, ASPECT_ROWS), path)
-    back = delimited.read_csv(spark, path).orderBy("review_id").collect()
-    assert [r.comment for r in back] == AWKWARD
+    back = delimited.read_csv(spark, path, multi_line=True).collect()
+    assert [r.comment for r in sorted(back, key=lambda r: int(r.review_id))] == AWKWARD
 
 
 def test_labelled_tsv(spark, tmp_path):
     path = tmp_path / "pn.tsv"
-    path.write_text("a1\t1\t部屋が良い\tx\ttrain\na2\t-1\t狭い, 暗い\t\tdev\n", encoding="utf8")
-    back = delimited.read_labelled_tsv(spark, str(path)).orderBy("id").collect()
-    assert [(r.id, r.label, r.text, r.split) for r in back] == [("a1", 1, "部屋が良い", "train"), ("a2", -1, "狭い, 暗い", "dev")]
+    path.write_text("a1\t1\t部屋が良い\tx\ttrain\na2\t-1.0\t狭い, 暗い\t\tdev\na3\tx\t\"二行\n目\"\t\tdev\n", encoding="utf8")
+    back = delimited.read_labelled_tsv(spark, str(path), multi_line=True).orderBy("id").collect()
+    assert [(r.id, r.label, r.text, r.split) for r in back] == [("a1", 1, "部屋が良い", "train"), ("a2", -1, "狭い, 暗い", "dev"), ("a3", None, "二行\n目", "dev")]
 
 
 def test_text_sink(spark, tmp_path):
@@ -142,12 +142,6 @@ def test_assets(spark, tmp_path):
     assert [(r.n_rows, r.n_columns, r.column_name, r.data_type) for r in shape][1] == (3, 3, "label", "int")
 
 
-def test_spread_leaves_wide_inputs_alone(spark):
-    narrow, wide = spark.range(100).coalesce(1), spark.range(0, 100, 1, 9)
-    assert layout.spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert layout.spread(wide, "id") is wide
-
-
 def test_shared_folder_follows_the_session(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     first, second = session.fresh_path(spark, "x"), session.fresh_path(spark, "x")

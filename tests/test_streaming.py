@@ -13,7 +13,7 @@ def _deliver(folder, name, reviews):
 
 def _run(spark, folder, tmp_path):
     ingest.ingest(spark, str(folder), str(tmp_path / "table"), str(tmp_path / "progress")).awaitTermination()
-    return spark.read.parquet(str(tmp_path / "table"))
+    return ingest.collected(spark, str(tmp_path / "table"))
 
 
 def test_two_deliveries_store_each_id_once(spark, tmp_path):
@@ -23,9 +23,9 @@ def test_two_deliveries_store_each_id_once(spark, tmp_path):
     first = _run(spark, folder, tmp_path)
     assert [(r.id, r.postDateTime, r.hotel_id) for r in first.collect()] == [("1", "a", "1")]
     _deliver(folder, "hotel_2_reviews.jsonl", [{"id": "1", "postDateTime": "0"}, {"id": "2", "comment": "良い"}])
-    second = _run(spark, folder, tmp_path).orderBy("id").collect()
-    assert [(r.id, r.hotel_id, r.comment) for r in second] == [("1", "1", None), ("2", "2", "良い")]
-    assert len(_run(spark, folder, tmp_path).collect()) == 2
+    second = _run(spark, folder, tmp_path).orderBy("id", "hotel_id").collect()
+    assert [(r.id, r.hotel_id, r.comment) for r in second] == [("1", "1", None), ("1", "2", None), ("2", "2", "良い")]
+    assert len(_run(spark, folder, tmp_path).collect()) == 3
 
 
 def test_repeated_batch_adds_nothing(spark, tmp_path):
@@ -58,10 +58,20 @@ def test_pages_in_sequence_first_seen_wins(spark):
     assert sorted(tuple(r) for r in first.collect()) == [("x", 1, 19), ("y", 1, 0)]
 
 
-def test_append_without_broadcast_gives_the_same(spark, tmp_path):
+def test_append_counts_and_keys(spark, tmp_path):
     table = str(tmp_path / "table")
     schema = "id string, hotel_id string, postDateTime string"
-    assert ingest.append_new(spark.createDataFrame([("a", "h", "1"), ("b", "h", "1")], schema), table, broadcast_rows=0) == 2
-    later = spark.createDataFrame([("b", "x", "0"), ("c", "x", "0"), ("c", "x", "1")], schema)
-    assert ingest.append_new(later, table, broadcast_rows=0) == 1
-    assert sorted(tuple(r) for r in spark.read.parquet(table).collect()) == [("a", "h", "1"), ("b", "h", "1"), ("c", "x", "0")]
+    assert ingest.append_new(spark.createDataFrame([("a", "h", "1"), ("b", "h", "1"), ("b", None, "1")], schema), table) == 3
+    later = spark.createDataFrame([("b", "h", "0"), ("b", "x", "0"), ("c", "x", "0"), ("c", "x", "1"), ("b", None, "0")], schema)
+    assert ingest.append_new(later, table) == 2
+    held = {(r.id, r.hotel_id, r.postDateTime) for r in ingest.collected(spark, table).collect()}
+    assert held == {("a", "h", "1"), ("b", "h", "1"), ("b", None, "1"), ("b", "x", "0"), ("c", "x", "0")}
+
+
+def test_append_reads_only_touched_folders(spark, tmp_path):
+    table = str(tmp_path / "table")
+    rows = spark.range(500).selectExpr("cast(id as string) as id", "'h' as hotel_id", "'1' as postDateTime")
+    assert ingest.append_new(rows, table) == 500
+    stored = spark.read.parquet(table).where("bucket in (3)")
+    assert "PartitionFilters: [bucket" in stored._jdf.queryExecution().toString().replace("PartitionFilters: [isnotnull(bucket", "PartitionFilters: [bucket")
+    assert 0 < stored.count() < 50

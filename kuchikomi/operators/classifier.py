@@ -48,6 +48,13 @@ def featuriser(features: int = 1 << 14) -> Pipeline:
     )
 
 
+def known_categories(spark: SparkSession) -> DataFrame:
+    """One row per aspect category: all that the one-hot encoder has to see."""
+    n = len(ASPECTS) + 1
+    empty = F.array().cast("array<string>")
+    return spark.range(n).select(F.col("id").cast("int").alias("aspect_category"), *[empty.alias(c) for c in ("chars", "subwords", "words")])
+
+
 def regression(reg_param: float, weight: str | None = None, max_iter: int = 30) -> LogisticRegression:
     """Multinomial logistic regression. Balance the classes by drawing the rows or by ``weight``, not both."""
     estimator = LogisticRegression(
@@ -75,9 +82,10 @@ def select_model(
 ) -> tuple[PipelineModel, float]:
     """Fit each candidate, store the one with the best macro-F1 on the validation rows, return it and its score.
 
-    The first candidate wins a tie. Texts are turned into vectors once for all candidates.
+    The first candidate wins a tie. Texts are turned into vectors once for all candidates; the featuriser learns
+    nothing from the rows (the categories are the aspects and one more), so it needs no pass of its own.
     """
-    vectors = featuriser(features).fit(train)
+    vectors = featuriser(features).fit(known_categories(train.sparkSession))
     columns = ["features", "label", *([weight] if weight else [])]
     fitted = vectors.transform(train).select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
     held_out = vectors.transform(validation).select("review_id", "features", "aspect_idx", "label")

@@ -159,8 +159,8 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = views.table(spark, sf_dir, "labels")
     elsewhere = lines.where("doc_id % 10 = 0").withColumn("file_name", F.lit("hotel_other_reviews.jsonl"))
     for delivery in (lines.join(known, "doc_id", "left_semi"), lines.unionByName(elsewhere)):
-        sinks.append_text(delivery, "line", source, split_column="file_name")
-        ingest(spark, f"{source}/*", table, checkpoint).awaitTermination()
+        sinks.append_text(delivery.repartition("file_name"), "line", source, split_column="file_name")
+        ingest(spark, f"{source}/*", table, checkpoint, buckets=8).awaitTermination()
     held = collected(spark, table)
     return held.select("id", "hotel_id", F.col("provider.name").alias("hotel_name"), F.md5("comment").alias("text_digest"))
 

@@ -41,23 +41,23 @@ def unique_stream(reviews: DataFrame, time_column: str | None = None, lateness:
     return reviews.dropDuplicates(KEY)
 
 
-def append_new(batch: DataFrame, table: str) -> int:
+def append_new(batch: DataFrame, table: str, buckets: int = BUCKETS) -> int:
     """Append to ``table`` the reviews of a batch whose (hotel, id) it does not hold; return how many were added.
 
     Of several copies the one with the earliest post time and then the smallest hash wins. The table itself is the
     memory: a batch run again after a failure finds its ids stored and adds nothing. Only the keys in the folders
-    the batch touches are read, once, and joined as AQE sees fit.
+    the batch touches are read, once, and joined as AQE sees fit. A table keeps its number of buckets.
     """
     spark = batch.sparkSession
     if "hotel_id" not in batch.columns:
         batch = batch.withColumn("hotel_id", F.lit(None).cast("string"))
     order = [c for c in ("postDateTime",) if c in batch.columns]
-    placed = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int"))
+    placed = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int"))
     unique = first_per_key(placed, KEY, order).persist(StorageLevel.MEMORY_AND_DISK)
     new, stored = unique, open_asset(spark, table)
     try:
         if stored is not None:
-            touched = [r[BUCKET] for r in unique.select(BUCKET).distinct().collect()]  # at most BUCKETS values
+            touched = [r[BUCKET] for r in unique.select(BUCKET).distinct().collect()]  # at most as many values as buckets
             new = not_yet_collected(unique, stored.where(F.col(BUCKET).isin(touched)), KEY).persist(StorageLevel.MEMORY_AND_DISK)
         rows = new.count()
         if rows:
@@ -74,11 +74,13 @@ def collected(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.parquet(table).drop(BUCKET)
 
 
-def ingest(spark: SparkSession, source: str, table: str, checkpoint: str, max_files: int | None = None) -> StreamingQuery:
+def ingest(
+    spark: SparkSession, source: str, table: str, checkpoint: str, max_files: int | None = None, buckets: int = BUCKETS
+) -> StreamingQuery:
     """Process the files that have arrived since the last run, then stop."""
     return (
         new_reviews(read_line_stream(spark, source, max_files))
-        .writeStream.foreachBatch(lambda batch, _: append_new(batch, table))
+        .writeStream.foreachBatch(lambda batch, _: append_new(batch, table, buckets))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -104,12 +104,12 @@ def temporal_coverage(df: DataFrame, posted: str = "post_datetime", check_in: st
     )
 
 
-def date_audit(df: DataFrame, posted: str = "post_datetime", hotel: str = "hotel_name") -> DataFrame:
-    """Null and malformed post times and null hotel names, each with its percentage of all rows."""
+def date_facts(posted: str = "post_datetime", hotel: str = "hotel_name") -> list[Column]:
+    """The aggregates of ``date_audit``."""
     nulls = F.count_if(F.col(posted).isNull())
     malformed = F.count_if(F.col(posted).isNotNull() & parse_lenient(F.col(posted)).isNull())
     no_hotel = F.count_if(F.col(hotel).isNull())
-    return df.agg(
+    return [
         _rows().alias("total_rows"),
         nulls.alias("null_dates"),
         percent(nulls, _rows()).alias("null_dates_pct"),
@@ -117,21 +117,30 @@ def date_audit(df: DataFrame, posted: str = "post_datetime", hotel: str = "hotel
         percent(malformed, _rows()).alias("malformed_dates_pct"),
         no_hotel.alias("null_hotels"),
         percent(no_hotel, _rows()).alias("null_hotels_pct"),
-    )
+    ]
 
 
-def missing_texts(df: DataFrame, column: str = "comment", short: int = MIN_COMMENT_CHARS) -> DataFrame:
-    """Null or empty texts and short texts with percentages; the short ones include the empty ones."""
+def date_audit(df: DataFrame, posted: str = "post_datetime", hotel: str = "hotel_name") -> DataFrame:
+    """Null and malformed post times and null hotel names, each with its percentage of all rows."""
+    return df.agg(*date_facts(posted, hotel))
+
+
+def text_facts(column: str = "comment", short: int = MIN_COMMENT_CHARS) -> list[Column]:
+    """The aggregates of ``missing_texts``, but for the number of rows."""
     text = F.col(column)
     missing = F.count_if(text.isNull() | (strip(text) == ""))
     brief = F.count_if(stripped_length(text) < short)
-    return df.agg(
-        _rows().alias("total_rows"),
+    return [
         missing.alias("null_or_empty"),
         percent(missing, _rows()).alias("null_or_empty_pct"),
         brief.alias("short_with_empty"),
         percent(brief, _rows()).alias("short_with_empty_pct"),
-    )
+    ]
+
+
+def missing_texts(df: DataFrame, column: str = "comment", short: int = MIN_COMMENT_CHARS) -> DataFrame:
+    """Null or empty texts and short texts with percentages; the short ones include the empty ones."""
+    return df.agg(_rows().alias("total_rows"), *text_facts(column, short))
 
 
 def ids_against_texts(df: DataFrame, key: str = "review_id", text: str = "comment") -> DataFrame:
@@ -173,9 +182,12 @@ def domain_check(df: DataFrame, column: str = "aspect", expected: tuple[str, ...
 
     The verdict on the whole column is ``matches``: true when no value is missing or unexpected.
     """
-    spark = df.sparkSession
-    wanted = spark.createDataFrame([(v,) for v in expected], f"{column} string")
-    found = df.where(F.col(column).isNotNull()).groupBy(column).agg(_rows().alias("n"))
+    return domain_standing(df.where(F.col(column).isNotNull()).groupBy(column).agg(_rows().alias("n")), column, expected)
+
+
+def domain_standing(found: DataFrame, column: str = "aspect", expected: tuple[str, ...] = ASPECTS) -> DataFrame:
+    """The same from rows already counted as ``n``."""
+    wanted = found.sparkSession.createDataFrame([(v,) for v in expected], f"{column} string")
     compared = found.join(wanted.withColumn("wanted", F.lit(True)), column, "full_outer").select(
         column,
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),

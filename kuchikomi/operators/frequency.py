@@ -35,6 +35,11 @@ def shares(df: DataFrame, column: str, of_all_rows: bool = False) -> DataFrame:
     table = frequencies(df, column)
     # The total of the table itself, so that both read one aggregation; all rows need a count of their own.
     total = row_count(df.select(column)) if of_all_rows else table.agg(F.sum("n")).scalar()
+    return shares_of(table, column, total)
+
+
+def shares_of(table: DataFrame, column: str, total: Column) -> DataFrame:
+    """The same from frequencies and the number they are a part of."""
     return table.select(
         column,
         "n",

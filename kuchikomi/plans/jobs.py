@@ -107,14 +107,21 @@ def profile_research(spark: SparkSession, research: str) -> Reports:
 
 
 def check_quality(spark: SparkSession, aspects: str) -> Reports:
-    """Dates, hotels, aspect domain, nulls, missing texts and repeated comments of the aspect corpus."""
+    """Dates, hotels, aspect domain, nulls, missing texts and repeated comments of the aspect corpus.
+
+    All whole-table figures come from one pass and all per-aspect figures from another; both results are a few rows.
+    """
     rows = _table(spark, aspects)
+    whole = rows.agg(*audit.date_facts(), *audit.text_facts()).persist()
+    by_aspect = audit.aspect_nulls(rows).persist()
+    texts = [c for c in whole.columns if c.startswith(("null_or_empty", "short_with_empty"))]
+    counts = by_aspect.select("aspect", "n")
     return {
-        "dates": audit.date_audit(rows),
-        "domain": audit.domain_check(rows),
-        "shares": frequency.shares(rows, "aspect", of_all_rows=True),
-        "nulls": audit.aspect_nulls(rows),
-        "texts": audit.missing_texts(rows),
+        "dates": whole.drop(*texts),
+        "domain": audit.domain_standing(counts),
+        "shares": frequency.shares_of(counts, "aspect", whole.select("total_rows").scalar()),
+        "nulls": by_aspect,
+        "texts": whole.select("total_rows", *texts),
         "identity": audit.ids_against_texts(rows),
         "duplicates": duplicates.duplicate_summary(rows),
         "cross_hotel": duplicates.cross_hotel_examples(rows),

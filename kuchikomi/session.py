@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -36,13 +38,15 @@ def local_session(cores: str | int = "*", partitions: int = 8, shared: str | Non
 
 @functools.cache
 def _temporary_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"{application}-")
+    folder = tempfile.mkdtemp(prefix=f"{application}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Only a local-mode session without the setting gets a temporary folder of its own; a cluster without it
+    Only a local-mode session without the setting gets a temporary folder of its own, removed at exit; a cluster without it
     is an error, because a folder of one machine would be lost with that machine.
     """
     folder = spark.conf.get(CHECKPOINT_SETTING, None)

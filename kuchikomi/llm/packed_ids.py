@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kuchikomi.llm.rows import frames, stored, texts
-from kuchikomi.llm.vocabulary import LONGEST_KEPT, MOST_KEPT, Vocabulary, kept, shared_file
+from kuchikomi.llm.vocabulary import Memory, Vocabulary, kept, shared_file
 from kuchikomi.session import shuffle_partitions
 
 BLOCK = 128
@@ -109,27 +110,23 @@ def unpack(blob: bytes, first_block: int = 0, last_block: int | None = None) ->
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each blank-free piece that keeps coming back."""
+    """The tokenizers library, asked once for each word that keeps coming back."""
 
     def __init__(self, text: str):
-        self.library = Vocabulary(text).library
-        self.known: dict[bytes, bytes] = {}
+        self.vocabulary = Vocabulary(text)
+        self.words = Memory(self._word, 300_000)
+        self.chunks = Memory(self._chunk, 300_000)
+
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.vocabulary.library.model.tokenize(word)]).tobytes()
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        return b"".join([array("I", [p]).tobytes() if isinstance(p, int) else self.words[p] for p in self.vocabulary.pieces(chunk)])
 
     def encode(self, values: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(values), 64):
-            split = [v.encode("utf-8", "replace").split() for v in values[i : i + 64]]
-            if len(self.known) > MOST_KEPT:
-                self.known = {}
-            known = self.known
-            missing = list({c for chunks in split for c in chunks if c not in known})
-            made = self.library.encode_batch_fast([c.decode() for c in missing], add_special_tokens=False)
-            known.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(missing, made))
-            out.extend(b"".join([known[c] for c in chunks]) for chunks in split)
-            for c in missing:
-                if len(c) > LONGEST_KEPT:
-                    del known[c]
-        return out
+        """Ids in the machine's own order, 32 bits each."""
+        known = self.chunks.__getitem__
+        return [b"".join(map(known, v.encode("utf-8", "replace").split())) for v in values]
 
 
 def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -138,7 +135,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Dat
     One shuffle by ranges of the id puts documents in order; parts follow the ranges.
     """
     shared = shared_file(docs.sparkSession, path)
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = kept(shared, "library", LibraryEncoder)
@@ -148,8 +145,8 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Dat
 
         def flush() -> pd.DataFrame:
             lengths = np.array([len(h) // 4 for h in held], dtype=np.uint32)
-            blob = pack(np.frombuffer(b"".join(held), "<u4"))
-            return pd.DataFrame({"part": [part], "segment": [segment], "first": [first], "n_ids": [size], "doc_ids": [list(ids)], "lengths": [lengths.tobytes()], "blocks": [blob]})
+            blob = pack(np.frombuffer(b"".join(held), np.uint32))
+            return pd.DataFrame({"part": [part], "segment": [segment], "first": [first], "n_ids": [size], "doc_ids": [np.array([i or 0 for i in ids], "<i8").tobytes()], "unnamed": [[k for k, i in enumerate(ids) if i is None]], "lengths": [lengths.tobytes()], "blocks": [blob]})
 
         for batch in batches:
             for doc_id, made in zip(batch.doc_id, encoder.encode(batch.text.tolist())):
@@ -163,7 +160,7 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Dat
             yield flush()
 
     ordered = texts(docs).repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    segments = frames(ordered, run, "part int, segment int, first long, n_ids long, doc_ids array<long>, lengths binary, blocks binary")
+    segments = frames(ordered, run, "part int, segment int, first long, n_ids long, doc_ids binary, unnamed array<int>, lengths binary, blocks binary")
     return stored(segments, "token-ids")
 
 
@@ -187,9 +184,11 @@ def _documents(files: DataFrame, column: str, shown) -> DataFrame:
                 starts = np.cumsum(lengths) - lengths
                 data = unpack(row.blocks).astype("<u4").tobytes()
                 values = [shown(data[4 * a : 4 * (a + n)]) for a, n in zip(starts, lengths)]
-                yield pd.DataFrame({"doc_id": pd.array(list(row.doc_ids), dtype="Int64"), "start": starts + int(row.first), "n_tokens": lengths, name: values})
+                doc_ids = pd.array(np.frombuffer(row.doc_ids, "<i8").copy(), dtype="Int64")
+                doc_ids[np.asarray(row.unnamed, dtype=np.int64)] = pd.NA
+                yield pd.DataFrame({"doc_id": doc_ids, "start": starts + int(row.first), "n_tokens": lengths, name: values})
 
-    return frames(placed.select("first", "doc_ids", "lengths", "blocks"), run, f"doc_id long, start long, n_tokens long, {column}")
+    return frames(placed.select("first", "doc_ids", "unnamed", "lengths", "blocks"), run, f"doc_id long, start long, n_tokens long, {column}")
 
 
 def file_digests(docs: DataFrame, path: str | None = None) -> DataFrame:

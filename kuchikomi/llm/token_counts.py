@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kuchikomi.llm.rows import per_row, texts
-from kuchikomi.llm.vocabulary import LONGEST_KEPT, MOST_KEPT, Vocabulary, kept, shared_file
+from kuchikomi.llm.vocabulary import MOST_KEPT, Memory, Vocabulary, kept, shared_file
 
 CHUNK_CHARS = 1 << 16
 BLANKS = b" \t\n\r\x0b\x0c"
@@ -29,7 +29,7 @@ BLANKS = b" \t\n\r\x0b\x0c"
 class Transducer:
     def __init__(self, text: str):
         self.vocabulary = Vocabulary(text)
-        self.known: dict[bytes, int] = {}
+        self.known = Memory(self.chunk)
         self._forget()
 
     def _forget(self) -> None:
@@ -58,7 +58,7 @@ class Transducer:
         return made
 
     def word(self, word: str) -> int:
-        if len(self.moves) > 4 * MOST_KEPT:
+        if len(self.moves) > 2 * MOST_KEPT:
             self._forget()
         state = total = 0
         for symbol in self.vocabulary.symbols(word):
@@ -68,17 +68,10 @@ class Transducer:
 
     def chunk(self, chunk: bytes) -> int:
         """Tokens between two blanks."""
-        n = self.known.get(chunk)
-        if n is None:
-            n = sum(1 if isinstance(p, int) else self.word(p) for p in self.vocabulary.pieces(chunk))
-            if len(self.known) >= MOST_KEPT:
-                self.known.clear()
-            if len(chunk) <= LONGEST_KEPT:
-                self.known[chunk] = n
-        return n
+        return sum(1 if isinstance(p, int) else self.word(p) for p in self.vocabulary.pieces(chunk))
 
     def between(self, text: bytes) -> int:
-        return sum(map(self.chunk, text.split()))
+        return sum(map(self.known.__getitem__, text.split()))
 
     def state_map(self, text: bytes) -> tuple[bytes, int, bytes | None]:
         """Opening, count between, ending; the ending is None if there is no blank at all."""

@@ -10,13 +10,45 @@ import heapq
 import json
 import os
 import re
+import unicodedata
+from collections.abc import Callable
 from functools import cached_property
 
 import numpy as np
 from pyspark.sql import SparkSession
 
-#: Pieces longer than this are not remembered, and memories are emptied at this many entries.
-LONGEST_KEPT, MOST_KEPT = 64, 400_000
+#: Pieces longer than this are not remembered, and a generation of a memory holds this many.
+LONGEST_KEPT, MOST_KEPT = 64, 200_000
+#: Words of letters, single numbers, other runs: the file's pattern, for lower-case texts below U+0250 without controls.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+CONTROLS = re.compile(r"[\x00-\x1f\x7f-\x84\x86-\x9f\xad]")
+
+
+def byte_names() -> dict[int, str]:
+    """The character that stands for each byte: itself where it is printable, else the next one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class Memory(dict):
+    """What was made of short keys: two generations, so what keeps coming back outlives what came once."""
+
+    def __init__(self, make: Callable, most: int = MOST_KEPT):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -64,6 +96,11 @@ class Vocabulary:
         self.token_id = np.array([model["vocab"][t] for t in self.names], dtype=np.uint32)
         self.parts = [None] * self.singles + [(self.number[a], self.number[b]) for a, b in merges]
         self.merged = {p: i for i, p in enumerate(self.parts) if p is not None}
+        self.bytes = byte_names()
+        # The short way holds for files that lower-case, compose and cut like this one; others are cut by the library.
+        cuts = [c.get("pattern", {}).get("Regex") for c in (data.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        kinds = [n["type"] for n in (data.get("normalizer") or {}).get("normalizers", [])]
+        self.plain = cuts[:1] == [PATTERN] and kinds == ["NFC", "Replace", "Lowercase"] and all(t.startswith("<|") for t in (a["content"] for a in data["added_tokens"]))
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -72,8 +109,12 @@ class Vocabulary:
     def pieces(self, chunk: bytes) -> list[str | int]:
         """The words of a text without ASCII blanks, as the file cuts them; a special token is given as its id."""
         text = chunk.decode("utf-8", "replace")
-        if text.isascii() and text.isalpha():
-            return [text.lower()]
+        if self.plain and text.isascii() and "<|" not in text and text.isprintable():
+            return [text.lower()] if text.isalpha() else PLAIN.findall(text.lower())
+        if self.plain and "<|" not in text and unicodedata.is_normalized("NFC", text):
+            low = text.lower()
+            if max(low) < "\u0250" and not CONTROLS.search(low):
+                return [w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes) for w in PLAIN.findall(low)]
         out: list[str | int] = []
         for part in self.special_at.split(text) if self.special_at else [text]:
             if part in self.special:
@@ -91,6 +132,8 @@ class Vocabulary:
     def merge(self, symbols: list[int]) -> list[int]:
         """Exact merging: always the earliest merge, leftmost first."""
         n = len(symbols)
+        if n <= 64:
+            return self._merge_short(list(symbols))
         symbols, following, previous = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         merged = self.merged
         queue = [(m, i) for i in range(n - 1) if (m := merged.get((symbols[i], symbols[i + 1]))) is not None]
@@ -110,6 +153,20 @@ class Vocabulary:
                 heapq.heappush(queue, (left, h))
         return [s for s in symbols if s >= 0]
 
+    def _merge_short(self, symbols: list[int]) -> list[int]:
+        """The same by scanning all pairs, which is faster for a word than a queue."""
+        get, never = self.merged.get, len(self.names)
+        due = [get(pair, never) for pair in zip(symbols, symbols[1:])]
+        while due and (m := min(due)) < never:
+            i = due.index(m)
+            symbols[i : i + 2] = [m]
+            del due[i]
+            if i < len(due):
+                due[i] = get((m, symbols[i + 1]), never)
+            if i:
+                due[i - 1] = get((symbols[i - 1], m), never)
+        return symbols
+
     def compatible(self, a: int, b: int, limit: int | None = None) -> bool:
         """Whether merging the symbols of both tokens together leaves the border between them in place.
 

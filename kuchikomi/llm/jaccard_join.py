@@ -33,7 +33,7 @@ THRESHOLD = 0.8
 RECALL = 0.999
 BLOCK_ROWS = 512
 BASE = np.uint64(0x9E3779B97F4A7C15)
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = 150) -> tuple[int, int]:
@@ -100,16 +100,13 @@ def signatures(docs: DataFrame, size: int, threshold: float, recall: float) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
-            words = [shingler.words(t) for t in batch.text]
-            grams = [shingler.grams(w, size) for w in words]
-            yield pd.DataFrame(
-                {
-                    "row": batch.row,
-                    "doc_id": batch.doc_id,
-                    "digest": [digest(w) for w in words],
-                    "bands": [signature(g, bands, rows).astype(np.int64) if len(g) else None for g in grams],
-                }
-            )
+            digests, signed = [], []
+            for text in batch.text:  # one text's words at a time
+                words = shingler.words(text)
+                grams = shingler.grams(words, size)
+                digests.append(digest(words))
+                signed.append(signature(grams, bands, rows).astype(np.int64) if len(grams) else None)
+            yield pd.DataFrame({"row": batch.row, "doc_id": batch.doc_id, "digest": digests, "bands": signed})
 
     numbered = texts(docs).withColumn("row", F.monotonically_increasing_id())
     return frames(numbered, run, "row long, doc_id long, digest binary, bands array<long>")
@@ -139,9 +136,12 @@ def verified(docs: DataFrame, signed: DataFrame, classes: DataFrame, components:
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
-            words = [shingler.words(t) for t in batch.text]
-            own = [digest(w) == d for w, d in zip(words, batch.digest)]  # an id may stand for several texts
-            sets = [shingler.grams(w, size).tobytes() for w, o in zip(words, own) if o]
+            own, sets = [], []
+            for text, wanted in zip(batch.text, batch.digest):
+                words = shingler.words(text)
+                own.append(digest(words) == wanted)  # an id may stand for several texts
+                if own[-1]:
+                    sets.append(shingler.grams(words, size).tobytes())
             yield batch.loc[own, ["key", "component", "blocks", "copies"]].assign(grams=sets)
 
     cut = frames(found, grams, "key long, component long, blocks int, copies long, grams binary")

@@ -32,7 +32,10 @@ class Encoder:
         self.pair, self.product = keys[order], np.fromiter(v.merged.values(), np.int64, len(keys))[order]
         names = {i: t for t, i in json.loads(text)["model"]["vocab"].items()} | {i: t for t, i in v.special.items()}
         self.names: list[str | None] = [names.get(i) for i in range(max(names) + 1)]
-        self.known: dict[bytes, tuple[bytes, str]] = {b"": (b"", "")}
+        # Ids of words and of blank-free pieces, each in two generations.
+        self.words: list[dict[str, bytes]] = [{}, {}]
+        self.ids: list[dict[bytes, bytes]] = [{}, {}]
+        self.token_id = v.token_id.astype("<u4")
         self.merged_words = 0
 
     def propose(self, symbols: list[int]) -> list[int]:
@@ -84,37 +87,42 @@ class Encoder:
             self.merged_words += 1
         return proposals
 
-    def learn(self, chunks: set[bytes]) -> dict[bytes, tuple[bytes, str]]:
-        """Ids, little-endian 32 bits each, and decoded text of blank-free pieces."""
-        pieces = {c: self.vocabulary.pieces(c) for c in chunks}
-        words = sorted({p for ps in pieces.values() for p in ps if isinstance(p, str)})
-        ids = {w: self.vocabulary.token_id[np.array(s)] for w, s in zip(words, self.encode_words(words))} if words else {}
-        made = {}
+    def learn_words(self, words: set[str]) -> None:
+        new, old = self.words
+        new.update({w: old[w] for w in words if w in old})
+        fresh = [w for w in words if w not in new]
+        for word, symbols in zip(fresh, self.encode_words(fresh) if fresh else ()):
+            new[word] = self.token_id[symbols].tobytes()
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Remember blank-free pieces; their words are proposed, verified and merged together."""
+        new, old = self.ids
+        new.update({c: old[c] for c in chunks if c in old})
+        pieces = {c: self.vocabulary.pieces(c) for c in chunks if c not in new}
+        known = self.words[0]
+        self.learn_words({p for ps in pieces.values() for p in ps if isinstance(p, str) and p not in known})
         for chunk, ps in pieces.items():
-            arrays = [np.array([p], np.uint32) if isinstance(p, int) else ids[p] for p in ps]
-            whole = np.concatenate(arrays) if arrays else np.zeros(0, np.uint32)
-            made[chunk] = whole.astype("<u4").tobytes(), self.decode(whole)
-        return made
+            new[chunk] = b"".join([known[p] if isinstance(p, str) else np.array(p, "<u4").tobytes() for p in ps])
 
-    def decode(self, ids) -> str:
-        return " ".join([self.names[i] for i in ids])
+    def decode(self, ids: bytes) -> str:
+        names = self.names
+        return " ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
-    def encode(self, values: list[str]) -> list[tuple[bytes, str]]:
-        """Ids and decoded text of every value; new pieces are learnt a few texts at a time, so checks run on many pairs."""
+    def encode(self, values: list[str]) -> list[bytes]:
+        """Ids of every value; new pieces are learnt many texts at a time, so checks run on many pairs."""
         out = []
         for i in range(0, len(values), 64):
             split = [v.encode("utf-8", "replace").split() for v in values[i : i + 64]]
-            if len(self.known) > MOST_KEPT:
-                self.known = {b"": (b"", "")}
-            known = self.known
-            missing = {c for chunks in split for c in chunks if c not in known}
-            known.update(self.learn(missing))
-            for chunks in split:
-                found = [known[c] for c in chunks]
-                out.append((b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[0]])))
+            for memory in (self.words, self.ids):
+                if len(memory[0]) > MOST_KEPT:
+                    memory[:] = [{}, memory[0]]
+            ids = self.ids[0]
+            missing = {c for chunks in split for c in chunks if c not in ids}
+            self.learn(missing)
+            out.extend(b"".join(map(ids.__getitem__, chunks)) for chunks in split)
             for c in missing:
                 if len(c) > LONGEST_KEPT:
-                    del known[c]
+                    del ids[c]
         return out
 
 
@@ -130,14 +138,15 @@ def encoded(docs: DataFrame, path: str | None = None, columns: tuple[str, ...] =
     kinds = dict(c.split() for c in RESULT.split(", "))
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        made = kept(shared, "encoder", Encoder).encode(batch.text.tolist())
+        encoder = kept(shared, "encoder", Encoder)
+        ids = encoder.encode(batch.text.tolist())
         whole = {
             "doc_id": lambda: batch.doc_id,
-            "n_tokens": lambda: [len(ids) // 4 for ids, _ in made],
-            "ids": lambda: [ids for ids, _ in made],
-            "ids_sha256": lambda: [hashlib.sha256(ids).hexdigest() for ids, _ in made],
-            "decoded": lambda: [text for _, text in made],
-            "decoded_sha256": lambda: [hashlib.sha256(text.encode()).hexdigest() for _, text in made],
+            "n_tokens": lambda: [len(i) // 4 for i in ids],
+            "ids": lambda: ids,
+            "ids_sha256": lambda: [hashlib.sha256(i).hexdigest() for i in ids],
+            "decoded": lambda: [encoder.decode(i) for i in ids],
+            "decoded_sha256": lambda: [hashlib.sha256(encoder.decode(i).encode()).hexdigest() for i in ids],
         }
         return pd.DataFrame({c: whole[c]() for c in columns})
 
@@ -150,7 +159,7 @@ def decoded(encodings: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         encoder = kept(shared, "encoder", Encoder)
-        return pd.DataFrame({"doc_id": batch.doc_id, "decoded": [encoder.decode(np.frombuffer(i or b"", "<u4")) for i in batch.ids]})
+        return pd.DataFrame({"doc_id": batch.doc_id, "decoded": [encoder.decode(i or b"") for i in batch.ids]})
 
     return per_row(encodings.select("doc_id", "ids"), run, "doc_id long, decoded string")
 

@@ -117,9 +117,12 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_windows
 
 
 def _sieve(shared):
+    built: list[WuManber] = []  # once per task
+
     def wanted(values: list[str]) -> list[bool]:
-        tables = _tables(shared.value)
-        return [not any(True for table in tables for _ in table.search(w)) for w in map(words, values)]
+        if not built:
+            built.extend(_tables(shared.value))
+        return [not any(True for table in built for _ in table.search(w)) for w in map(words, values)]
 
     return wanted
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kuchikomi.llm.rows import frames, per_row, texts
+from kuchikomi.llm.rows import dealt_by, frames, per_row, texts
 from kuchikomi.session import shuffle_partitions
 
 K = 24
@@ -128,7 +128,7 @@ def in_order(docs: DataFrame) -> DataFrame:
         extra = F.when(nulls, F.lit(before[order[0]])).otherwise(extra)
     copies = F.array_compact(F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("extra")), F.when(extra.isNotNull(), F.struct(extra.alias("bucket"), F.lit(True).alias("extra")))))
     spread = whole.select(F.explode(copies).alias("place"), "doc_id", "text").select("place.*", "doc_id", "text")
-    return spread.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", "doc_id", "text")
+    return dealt_by(spread, "bucket", n).sortWithinPartitions("bucket", "extra", "doc_id", "text")
 
 
 def compared(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:

@@ -29,6 +29,13 @@ def id_remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, so that what a task makes of one of them stays small whatever the session's batch size."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def frames(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | T.StructType) -> DataFrame:
     """Map a partition's batches as pandas frames; unlike ``mapInPandas``, integers stay integers beside nulls."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -36,7 +43,7 @@ def frames(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get
-        for out in function(b.to_pandas(types_mapper=whole) for b in batches if b.num_rows):
+        for out in function(b.to_pandas(types_mapper=whole) for b in slices(batches)):
             yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
 
     return df.mapInArrow(run, kind)
@@ -51,10 +58,9 @@ def keep(docs: DataFrame, wanted: Callable[..., list[bool]], also: tuple[str, ..
     """The rows that ``wanted(texts, *also)`` picks, all columns untouched; a null text is judged as an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                columns = [batch.column(c).to_pylist() for c in also]
-                yield batch.filter(pa.array([bool(x) for x in wanted([t or "" for t in batch.column("text").to_pylist()], *columns)]))
+        for batch in slices(batches):
+            columns = [batch.column(c).to_pylist() for c in also]
+            yield batch.filter(pa.array([bool(x) for x in wanted([t or "" for t in batch.column("text").to_pylist()], *columns)]))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -66,6 +72,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """``n`` integers of which hash partitioning puts one into each of ``n`` partitions."""
+    candidates = spark.range(64 * n + 64).select(F.col("id").cast("int").alias("key"))
+    found = candidates.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("part")).agg(F.min("key").alias("key"))
+    keys = {r.part: r.key for r in found.collect()}
+    return [keys.get(p, p) for p in range(n)]
+
+
+def dealt_by(rows: DataFrame, number: str, n: int) -> DataFrame:
+    """One partition for each value 0 to ``n`` - 1 of the column ``number``: no two share a task."""
+    keys = F.lit(even_keys(rows.sparkSession, n))
+    return rows.withColumn("_key", F.element_at(keys, F.col(number) + 1)).repartition(n, "_key").drop("_key")
+
+
 def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Consecutive rows with equal keys, across batch borders; the input must be sorted by the keys."""
     held: list[pd.DataFrame] = []

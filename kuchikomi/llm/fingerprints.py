@@ -11,6 +11,7 @@ next document follows by ascending id (null ids first, equal ids by text), and t
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from kuchikomi.llm.rows import dealt_by, frames, per_row, texts
 from kuchikomi.session import shuffle_partitions
 
-K = 24
-WINDOW = 77
+K = 8
+WINDOW = 16
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -74,8 +75,24 @@ class Winnower:
 
 
 def written(positions: np.ndarray, hashes: np.ndarray) -> str:
-    """The fingerprint as text: every selected position and hash, in order."""
-    return " ".join([f"{p}:{h:08x}" for p, h in zip(positions.tolist(), hashes.tolist())])
+    """The fingerprint as text: every selected position and hash, in order.
+
+    A digit tells the bytes of a gap between positions; base64 of all gaps, then of all 32-bit hashes, follows.
+    """
+    if not len(positions):
+        return ""
+    gaps = np.diff(positions, prepend=0)
+    width = 1 if gaps.max() < 256 else 4
+    return str(width) + base64.b64encode(gaps.astype(f"<u{width}").tobytes() + hashes.astype("<u4").tobytes()).decode()
+
+
+def read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of a written fingerprint."""
+    if not fingerprint:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    width, data = int(fingerprint[0]), base64.b64decode(fingerprint[1:])
+    cut = len(data) // (width + 4) * width
+    return np.cumsum(np.frombuffer(data[:cut], f"<u{width}").astype(np.int64)), np.frombuffer(data[cut:], "<u4")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

@@ -74,3 +74,20 @@ def test_awkward_rows(spark):
 def test_positions_are_kept(spark):
     (row,) = fp.fingerprints(documents(spark, ["abcdefgh" * 20]), k=4, window=3).collect()
     assert row.positions == sorted(row.positions) and len(row.positions) == len(row.hashes) > 20
+
+
+def test_short_half_edited_texts_stay_alike():
+    rng = random.Random(6)
+    winnower = fp.Winnower()
+    for n in range(2 * (fp.K + fp.WINDOW - 1), 200):
+        text, after = ("".join(rng.choice("abcdefghij klmnopq") for _ in range(n)) for _ in range(2))
+        own, other = (winnower.select(fp.code_points(t)) for t in (text, fp.edited(text, after)))
+        assert fp.likeness(own[1], other[1]) > 0
+    assert 2 * (fp.K + fp.WINDOW - 1) < 50
+
+
+def test_written_fingerprints_can_be_read():
+    for text, k, window in [("", 8, 16), ("ab", 8, 16), (sentence(random.Random(7), 300), 8, 16), (sentence(random.Random(7), 3000), 8, 1500)]:
+        positions, hashes = fp.Winnower(k, window).select(fp.code_points(text))
+        back = fp.read(fp.written(positions, hashes))
+        assert back[0].tolist() == positions.tolist() and back[1].tolist() == hashes.tolist()

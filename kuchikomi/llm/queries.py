@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kuchikomi.llm import bpe, decontamination, fingerprints, jaccard_join, packed_ids, pitman_yor, quality, sharding, token_counts, toxicity
+from kuchikomi.llm import (
+    bpe,
+    decontamination,
+    fill_in_middle,
+    fingerprints,
+    jaccard_join,
+    packed_ids,
+    pitman_yor,
+    quality,
+    sharding,
+    token_alignment,
+    token_counts,
+    toxicity,
+)
 from kuchikomi.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +85,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.held_out_scores(table(spark, sf_dir, "documents"))
+
+
+@query(fill_in_middle.SQL)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.scored(table(spark, sf_dir, "documents"))

@@ -15,6 +15,7 @@ from kuchikomi.llm import (
     packed_ids,
     pitman_yor,
     quality,
+    secret_scan,
     sharding,
     token_alignment,
     token_counts,
@@ -87,6 +88,11 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.held_out_scores(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
 @query(fill_in_middle.SQL)
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(table(spark, sf_dir, "documents"))

@@ -206,8 +206,8 @@ def _awkward(rows: DataFrame) -> DataFrame:
     )
 
 
-# One line of each document, by its id: as it should be, or with fields of other types, or no object at all.
-_KINDS = 8
+# One line of each document, by its id: as it should be, with fields of other types, no object, or more than one object.
+_KINDS = 11
 
 
 def _mistyped(documents: DataFrame) -> DataFrame:
@@ -222,6 +222,9 @@ def _mistyped(documents: DataFrame) -> DataFrame:
         F.concat(F.lit('"'), doc, F.lit('"')),
         F.concat(F.lit(' {"id":"'), doc, F.lit('","comment":null,"scores":{"code":"ROOM"},"provider":{"name":5}}  ')),
         F.lit("\u3000 "),
+        F.concat(F.lit('{"id":"'), doc, F.lit('"} {"id":"'), doc, F.lit('"}')),
+        F.concat(F.lit('{"id":"'), doc, F.lit('","comment":'), quoted, F.lit('}x}')),
+        F.concat(F.lit('{"id":"'), doc, F.lit('"}] {"comment":'), quoted, F.lit("}")),
     ]
     line = F.element_at(F.array(*parts), (doc % _KINDS + 1).cast("int"))
     return documents.select(F.concat(F.lit("x/hotel_"), "source", F.lit("_reviews.jsonl")).alias("file_name"), line.alias("line"))
@@ -230,16 +233,16 @@ def _mistyped(documents: DataFrame) -> DataFrame:
 @query(
     "S1 F8 A21 (fields of other types)",
     """
-    with kinds as (select source as hotel_id, doc_id::varchar as review_id, text, doc_id % 8 as kind from documents)
+    with kinds as (select source as hotel_id, doc_id::varchar as review_id, text, doc_id % 11 as kind from documents)
     select hotel_id, case when kind in (0, 1, 2, 6) then review_id end as review_id,
            case kind when 0 then 4.0 when 1 then 3.0 end::double as overall_score,
            case when kind in (0) then md5(text) end as comment_digest, case kind when 2 then '{"a":1}' end as title,
            case kind when 6 then '5' end as hotel_name, case kind when 1 then 5.0 end::double as room,
-           case kind when 1 then 2 end as entries, kind in (3, 4, 5) as skipped
+           case kind when 1 then 2 end as entries, kind in (3, 4, 5, 8, 9, 10) as skipped
     from kinds where kind <> 7""",
 )
 def mistyped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only what is no JSON object is skipped; a value that does not fit its field is null and costs nothing else."""
+    """Only what is not one JSON object is skipped; a value that does not fit its field is null and costs nothing else."""
     parsed = review_lines.parse_review_lines(_mistyped(views.table(spark, sf_dir, "documents")))
     scored = F.filter("scores", lambda s: s.isNotNull())
     room = F.filter("scores", lambda s: s["code"] == "ROOM")

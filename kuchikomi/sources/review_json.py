@@ -20,9 +20,15 @@ def decoded(text: Column) -> Column:
 
 
 def is_object(text: Column, fields: Column) -> Column:
-    """Whether ``text``, whose ``decoded`` fields are given, is a JSON object."""
-    bare = strip(text)
-    return bare.startswith("{") & bare.endswith("}") & fields[CORRUPT].isNull()
+    """Whether ``text``, whose ``decoded`` fields are given, is one JSON object and nothing else.
+
+    The decoder stops at the end of the object, so what follows is tested by reading the text as the first of two
+    elements, the other a mark made from the text itself, which therefore cannot hold it.
+    """
+    bare, mark = strip(text), F.xxhash64(text).cast("string")
+    elements = F.from_json(F.concat(F.lit("["), text, F.lit(',{"mark":"'), mark, F.lit('"}]')), "array<struct<mark: string>>")
+    alone = (F.size(elements) == 2) & (F.try_element_at(elements, F.lit(2))["mark"] == mark)
+    return bare.startswith("{") & bare.endswith("}") & fields[CORRUPT].isNull() & F.coalesce(alone, F.lit(False))
 
 
 def typed(fields: Column) -> list[Column]:

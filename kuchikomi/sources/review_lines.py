@@ -29,7 +29,7 @@ def files_read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_review_lines(lines: DataFrame) -> DataFrame:
-    """Decode ``(file_name, line)``; a line that is no JSON object keeps its text in the corrupt column.
+    """Decode ``(file_name, line)``; a line that is not one JSON object keeps its text in the corrupt column, and nothing else.
 
     A field of an unexpected type is converted or becomes null; it does not cost the review. Blank lines are
     dropped before anything is counted.
@@ -38,7 +38,8 @@ def parse_review_lines(lines: DataFrame) -> DataFrame:
     return (
         lines.where(strip(line) != "")
         .select(hotel_of_file(F.col("file_name")).alias("hotel_id"), "line", review_json.decoded(line).alias("_review"))
-        .select("hotel_id", *review_json.typed(review), F.when(~review_json.is_object(line, review), line).alias(CORRUPT))
+        .select("hotel_id", "line", F.when(review_json.is_object(line, review), review).alias("_review"))
+        .select("hotel_id", *review_json.typed(review), F.when(review.isNull(), line).alias(CORRUPT))
     )
 
 

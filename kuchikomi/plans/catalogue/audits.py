@@ -199,11 +199,17 @@ def empty_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.empty_texts(views.table(spark, sf_dir, "documents"), "text")
 
 
-# Texts of 0 to 7 characters, null for every ninth document: both sides of the limit of 5.
-_SHORT_SQL = "with short as (select case when doc_id % 9 > 0 then substr(text, 1, doc_id % 8) end as text from documents)"
+# Every whole text, and beside it one of 0 to 7 characters, null for every ninth document: both sides of the limit of 5.
+_SHORT_SQL = """with short as (
+      select text from documents union all select case when doc_id % 9 > 0 then substr(text, 1, doc_id % 8) end as text from documents)"""
 _SHORT = "case when doc_id % 9 > 0 then substring(text, 1, cast(doc_id % 8 as int)) end"
 
 
+def _whole_and_short(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    both = F.explode(F.array("text", F.expr(_SHORT))).alias(column)
+    return views.table(spark, sf_dir, "documents").select(both)
+
+
 @query(
     "A18 P16 F1",
     f"""
@@ -215,14 +221,17 @@ _SHORT = "case when doc_id % 9 > 0 then substring(text, 1, cast(doc_id % 8 as in
     from short""",
 )
 def missing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.missing_texts(views.table(spark, sf_dir, "documents").withColumn("text", F.expr(_SHORT)), "text")
+    return audit.missing_texts(_whole_and_short(spark, sf_dir, "text"), "text")
 
 
-@query("F1", f"{_SHORT_SQL} select text, count(*) as n from short where length({views.strip_sql('text')}) >= 5 group by text")
+@query(
+    "F1",
+    f"{_SHORT_SQL} select md5(text) as text_digest, count(*) as n from short where length({views.strip_sql('text')}) >= 5 group by md5(text)",
+)
 def usable_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews of just enough characters."""
-    rows = views.table(spark, sf_dir, "documents").withColumn("comment", F.expr(_SHORT))
-    return usable(rows).groupBy(F.col("comment").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    """Reviews of enough characters, whole ones and those that have just enough."""
+    usable_rows = usable(_whole_and_short(spark, sf_dir, "comment"))
+    return usable_rows.groupBy(F.md5("comment").alias("text_digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -69,9 +69,13 @@ def stratified_split(
 
 
 def rows_of_ids(df: DataFrame, ids: DataFrame, key: str = "review_id") -> DataFrame:
-    """Rows whose key is among the ids of a stored split, null matching null."""
-    wanted = ids.select(F.col(key).alias("_wanted"))
-    return df.join(wanted, F.col(key).eqNullSafe(F.col("_wanted")), "left_semi")
+    """Rows whose key is among the ids of a stored split, null matching null.
+
+    Rows without a key are let through by one scalar test and not joined, so they never meet in one task.
+    """
+    wanted = ids.select(key).dropna()
+    null_wanted = ids.agg(F.coalesce(F.max(F.col(key).isNull()), F.lit(False)).alias("wanted")).scalar()
+    return df.join(wanted, key, "left_semi").select(*df.columns).unionByName(df.where(F.col(key).isNull()).where(null_wanted))
 
 
 def routed(df: DataFrame, splits: tuple[str, ...] = PREASSIGNED_SPLITS) -> DataFrame:

@@ -12,6 +12,7 @@ from kuchikomi.plans import views
 from kuchikomi.plans.catalogue.registry import query
 from kuchikomi.session import fresh_path
 from kuchikomi.sources import pages, review_lines, sinks
+from kuchikomi.streaming.indexed import collected_indexed, ingest_indexed
 from kuchikomi.streaming.ingest import collected, ingest
 
 
@@ -165,6 +166,57 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("id", "hotel_id", F.col("provider.name").alias("hotel_name"), F.md5("comment").alias("text_digest"))
 
 
+_HELD_SQL = """
+    select doc_id::varchar as id, source as hotel_id, source as hotel_name, md5(text) as text_digest from documents
+    where doc_id not in (select doc_id from broken)
+    union all select doc_id::varchar, 'other', source, md5(text) from documents
+    where doc_id not in (select doc_id from broken) and doc_id % 10 = 0"""
+
+
+@query("R1 J2 S9 U4 W5 (key index)", _HELD_SQL, (views.BROKEN_SQL,))
+def three_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents, then all, then all again with some ids under another hotel; buckets split on the way."""
+    source, table, checkpoint = (fresh_path(spark, n) for n in ("arriving", "indexed", "progress"))
+    lines = views.review_lines(spark, sf_dir)
+    known = views.table(spark, sf_dir, "labels")
+    elsewhere = lines.where("doc_id % 10 = 0").withColumn("file_name", F.lit("hotel_other_reviews.jsonl"))
+    for delivery in (lines.join(known, "doc_id", "left_semi"), lines, lines.unionByName(elsewhere)):
+        sinks.append_text(delivery.repartition("file_name"), "line", source, split_column="file_name")
+        ingest_indexed(spark, f"{source}/*", table, checkpoint, keys_per_bucket=2_000).awaitTermination()
+    held = collected_indexed(spark, table)
+    return held.select("id", "hotel_id", F.col("provider.name").alias("hotel_name"), F.md5("comment").alias("text_digest"))
+
+
+@query("R1 S9 (first run)", _HELD_SQL, (views.BROKEN_SQL,))
+def first_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run with nothing to collect finds no table and makes none; the next one collects everything."""
+    source, table, checkpoint = (fresh_path(spark, n) for n in ("arriving", "indexed", "progress"))
+    lines = views.review_lines(spark, sf_dir)
+    elsewhere = lines.where("doc_id % 10 = 0").withColumn("file_name", F.lit("hotel_other_reviews.jsonl"))
+    found = []
+    for delivery in (lines.limit(0), lines.unionByName(elsewhere)):
+        sinks.append_text(delivery.repartition("file_name"), "line", source, split_column="file_name")
+        ingest_indexed(spark, source, table, checkpoint).awaitTermination()
+        found.append(collected_indexed(spark, table))
+    held = found[0].unionByName(found[1])
+    return held.select("id", "hotel_id", F.col("provider.name").alias("hotel_name"), F.md5("comment").alias("text_digest"))
+
+
+@query(
+    "W3 W5 (late fetch)",
+    """select doc_id::varchar as review_id, min(page_id) as page_id, arg_min(position, page_id) as position,
+              arg_min(md5(text), page_id) as text_digest
+       from on_page group by doc_id""",
+    (views.PAGES_SQL,),
+)
+def first_seen_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each review once and whole; only reviews shown twice are moved."""
+    path = fresh_path(spark, "shown-reviews")
+    sinks.write_parquet(collection.identified(pages.page_reviews(_extracted(spark, sf_dir))).drop("scores"), path)
+    first = collection.first_of_key(spark.read.parquet(path), ["id"], ["page_id", "position"])
+    return first.select(F.col("id").alias("review_id"), "page_id", "position", F.md5("comment").alias("text_digest"))
+
+
 @query(
     "S12",
     """select page_id, position, doc_id::varchar as id, lang as title, text as comment, (n_chars % 5 + 1)::double as overall_score,

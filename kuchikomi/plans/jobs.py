@@ -27,7 +27,7 @@ from kuchikomi.operators import (
 )
 from kuchikomi.session import fresh_path, prepare
 from kuchikomi.sources import assets, delimited, pages, review_lines, sinks
-from kuchikomi.streaming.ingest import append_new, collected, ingest
+from kuchikomi.streaming.indexed import append_indexed, collected_indexed, ingest_indexed
 
 Reports = dict[str, DataFrame]
 
@@ -51,9 +51,9 @@ def collect_pages(spark: SparkSession, pages_path: str, output: str) -> Reports:
     sinks.write_parquet(pages.extract_pages(_table(spark, pages_path)), decoded)  # markup is decoded once for all reports
     extracted = spark.read.parquet(decoded)
     found = collection.identified(pages.page_reviews(extracted))
-    first = collection.first_per_key(found, ["hotel_id", "id"], ["page_id", "position"])
-    added = append_new(first.drop("page_id", "position", "reported_total"), output)
-    held = collected(spark, output).select("hotel_id", F.col("id").alias("review_id"))
+    first = collection.first_of_key(found, ["hotel_id", "id"], ["page_id", "position"]).drop("page_id", "position", "reported_total")
+    added = append_indexed(first, output)
+    held = collected_indexed(spark, output, first.schema).select("hotel_id", F.col("id").alias("review_id"))
     return {
         "run": extracted.agg(F.count(F.lit(1)).alias("pages")).withColumn("reviews_added", F.lit(added).cast("bigint")),
         "remaining": collection.reconciliation(held, extracted),
@@ -63,9 +63,9 @@ def collect_pages(spark: SparkSession, pages_path: str, output: str) -> Reports:
 
 
 def collect_lines(spark: SparkSession, source: str, output: str, checkpoint: str) -> Reports:
-    """Add the review lines that arrived in ``source`` since the last run, each id once."""
-    ingest(prepare(spark), source, output, checkpoint).awaitTermination()
-    held = collected(spark, output)
+    """Add the review lines that arrived in ``source`` since the last run, each id once; nothing may have arrived yet."""
+    ingest_indexed(prepare(spark), source, output, checkpoint).awaitTermination()
+    held = collected_indexed(spark, output)
     return {"held": held.groupBy("hotel_id").agg(F.count(F.lit(1)).alias("reviews"))}
 
 

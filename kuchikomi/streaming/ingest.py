@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from kuchikomi.domain import RAW_REVIEW
 from kuchikomi.operators.collection import first_per_key, identified, not_yet_collected
 from kuchikomi.sources.assets import open_asset
 from kuchikomi.sources.review_lines import accepted, parse_review_lines
@@ -69,9 +71,13 @@ def append_new(batch: DataFrame, table: str, buckets: int = BUCKETS) -> int:
         unique.unpersist()
 
 
-def collected(spark: SparkSession, table: str) -> DataFrame:
-    """The reviews stored by ``append_new``."""
-    return spark.read.parquet(table).drop(BUCKET)
+STORED = T.StructType([T.StructField("hotel_id", T.StringType()), *RAW_REVIEW.fields])
+
+
+def collected(spark: SparkSession, table: str, schema: T.StructType = STORED) -> DataFrame:
+    """The reviews stored by ``append_new``; none, with the given schema, before the first one is stored."""
+    stored = open_asset(spark, table)
+    return spark.createDataFrame([], schema) if stored is None else stored.drop(BUCKET)
 
 
 def ingest(

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kuchikomi.llm.rows import frames, texts
+from kuchikomi.llm.rows import frames, stored, texts
 from kuchikomi.llm.vocabulary import Memory
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -244,8 +244,9 @@ def ranked_words(docs: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
     """The most frequent words of 3 to 24 letters in all texts, with their ranks; equal counts go by the alphabet."""
     word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
     counts = texts(docs).select(word).where(F.length("word").between(SHORTEST, LONGEST)).groupBy("word").count()
-    top = counts.orderBy(F.desc("count"), "word").limit(most).collect()
-    return {r.word: i for i, r in enumerate(top, 1)}
+    # Written and read back, the list is picked by the executors; collected at once, every task would send one of its own.
+    top = stored(counts.orderBy(F.desc("count"), "word").limit(most), "ranked-words")
+    return {r.word: i for i, r in enumerate(sorted(top.collect(), key=lambda r: (-r["count"], r.word)), 1)}
 
 
 SPAN = "array<struct<kind: string, start: long, end: long, value_start: long, value_end: long, cost: double>>"

@@ -23,6 +23,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,19 +140,45 @@ class Speller:
             raise ValueError("a piece spans a blank, so texts can't be cut before blanks")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.length_a, self.length_b = (np.array([len(x) for x in v], dtype=np.int64) for v in (self.bytes_a, self.bytes_b))
-        self.known: list[dict[str, tuple[bytes, bytes]]] = [{}, {}]
+        self.known: list[dict[str, tuple[bytes, bytes] | None]] = [{}, {}]
         # For the group strings: an id before a comma, and before what ends its side of a group.
         self.shown = pa.array([f"{i}{end}" for end in (",", "|", ";", "") for i in range(max(len(self.bytes_a), len(self.bytes_b)))], pa.large_string())
 
     def learn(self, chunks: list[str]) -> None:
-        """Ids of chunks, each of which starts with a blank; both empty if one vocabulary spells a chunk differently."""
+        """Ids of chunks, encoded many in a row: between a chunk that ends in no blank and the next is a cut like those in texts.
+
+        If an end of a chunk isn't one of a token on both sides, or a byte differs, every chunk is encoded by itself.
+        """
+        ends_blank = [c[-1].isspace() for c in chunks]
+        row = [c for c, blank in zip(chunks, ends_blank) if not blank]
+        self.learn_each([c for c, blank in zip(chunks, ends_blank) if blank])
+        text = "".join(row)
+        if not row:
+            return
+        raw = text.encode("utf-8", "replace")
+        ends = np.cumsum([len(c) if c.isascii() else len(c.encode("utf-8", "replace")) for c in row])
+        sides = []
+        for ids, names, lengths in (
+            (self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.bytes_a, self.length_a),
+            (self.b.encode(text[1:], num_threads=1), self.bytes_b, self.length_b),
+        ):
+            ids_ends = np.cumsum(lengths[ids])
+            at = np.searchsorted(ids_ends, ends)
+            if b"".join(map(names.__getitem__, ids)) != raw or (ids_ends[at] != ends).any():
+                return self.learn_each(row)
+            data, cuts = array("H", ids).tobytes(), [0, *(2 * at + 2).tolist()]
+            sides.append([data[i:j] for i, j in zip(cuts, cuts[1:])])
+        self.known[0].update(zip(row, zip(*sides)))
+
+    def learn_each(self, chunks: list[str]) -> None:
+        """Ids of chunks, each of which starts with a blank; none if one vocabulary spells a chunk differently."""
         new = self.known[0]
         sides_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         sides_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
         for chunk, a, b in zip(chunks, sides_a, sides_b):
             raw = chunk.encode("utf-8", "replace")
             fine = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-            new[chunk] = (np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()) if fine else (b"", b"")
+            new[chunk] = (array("H", a).tobytes(), array("H", b).tobytes()) if fine else None
 
     def spell(self, values: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids of every text by both vocabularies, as 16-bit integers; none where they can't be aligned."""
@@ -166,15 +193,13 @@ class Speller:
             self.learn(fresh[i : i + 4096])
         sides: tuple[list[bytes], list[bytes]] = ([], [])
         for chunks in split:
-            ids = [new[c] for c in chunks]
-            if not all(a for a, _ in ids):
-                ids = []
-            for k in (0, 1):
-                sides[k].append(b"".join([i[k] for i in ids]))
+            ids = list(map(new.__getitem__, chunks))
+            for side, parts in zip(sides, zip(*ids) if ids and None not in ids else ((), ())):
+                side.append(b"".join(parts))
         for c in fresh:
             if len(c) > LONGEST_KEPT:
                 del new[c]
-        return sides
+        return sides  # in the machine's byte order, as numpy reads them
 
 
 def shared_files(spark: SparkSession, byte_path: str | None = None, piece_path: str | None = None):
@@ -200,7 +225,7 @@ class Aligned:
     def __init__(self, spelt: Speller, values: list[str]):
         self.spelt = spelt
         sides = spelt.spell(values)
-        self.a, self.b = (np.frombuffer(b"".join(s), "<u2").astype(np.int64) for s in sides)
+        self.a, self.b = (np.frombuffer(b"".join(s), np.uint16).astype(np.int64) for s in sides)
         self.n_a, self.n_b = (np.array([len(i) // 2 for i in s], dtype=np.int64) for s in sides)
         # Offsets run on through all texts, so that ends ascend throughout.
         self.cut_a, self.cut_b = common_ends(np.cumsum(spelt.length_a[self.a]), np.cumsum(spelt.length_b[self.b]), self.n_a, self.n_b)

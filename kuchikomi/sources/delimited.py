@@ -1,7 +1,7 @@
 """CSV and TSV files; schemas are always given, never inferred.
 
-Spark cannot split a file whose records may span lines, so ``multi_line`` reads each file in one task. It is
-an option for exchange files; tables between jobs are Parquet.
+Spark's own reader cannot split a file whose records may span lines. With ``multi_line`` records are cut by ``records``
+instead, in parallel, and only their fields are left to Spark.
 """
 
 from __future__ import annotations
@@ -11,18 +11,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kuchikomi.domain import ASPECT_ROWS, LABELLED, NULL_TEXT
-
-
-def _reader(spark: SparkSession, multi_line: bool, null_text: str):
-    return (
-        spark.read.option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("nullValue", null_text)
-        .option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-    )
+from kuchikomi.sources.records import records
+
+QUOTE = '"'
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool, null_text: str, sep: str, header: bool) -> DataFrame:
+    options = {
+        "quote": QUOTE,
+        "escape": QUOTE,
+        "sep": sep,
+        "nullValue": null_text,
+        "emptyValue": "",
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+    }
+    if not multi_line:
+        return spark.read.options(**options).schema(schema).option("header", header).csv(path)
+    found = records(spark, path, QUOTE, header)
+    written = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name not in found.columns[1:])
+    # Line breaks inside a record are kept as they are.
+    parsed = found.withColumn("_record", F.from_csv("_record", written, options | {"multiLine": "true"}))
+    return parsed.select(*[(F.col(f.name).cast(f.dataType) if f.name in found.columns[1:] else F.col("_record")[f.name]).alias(f.name) for f in schema])
 
 
 def read_csv(
@@ -37,7 +47,8 @@ def read_csv(
     ``null_text`` stands for null, as ``sinks.write_csv`` writes it; files of other programs often leave null empty
     and need the empty string here.
     """
-    return _reader(spark, multi_line, null_text).schema(schema).option("header", True).csv(path)
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return _read(spark, path, kind, multi_line, null_text, ",", True)
 
 
 def read_labelled_tsv(spark: SparkSession, path: str, multi_line: bool = False, null_text: str = NULL_TEXT) -> DataFrame:
@@ -46,5 +57,5 @@ def read_labelled_tsv(spark: SparkSession, path: str, multi_line: bool = False,
     A label may be written as a whole number or with decimals; anything else becomes null.
     """
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in LABELLED.fields])
-    rows = _reader(spark, multi_line, null_text).schema(as_text).option("sep", "\t").csv(path)
+    rows = _read(spark, path, as_text, multi_line, null_text, "\t", False)
     return rows.withColumn("label", F.col("label").try_cast("double").try_cast("int"))

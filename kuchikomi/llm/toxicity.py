@@ -1,12 +1,13 @@
 """Toxicity: a logistic classifier whose score must not change when identity terms are swapped.
 
-The training rows are doubled by a counterfactual copy in which every identity term gives way to the next term
-of its group. The loss adds the squared change of the logit between the two, so a term that merely occurs beside
-abuse cannot carry weight of its own.
-
-Edge cases: a null text counts as empty and gets the score of a text without features; labels that are null
-are left out, contradicting labels of one document count as toxic; without both classes among the training
-rows every score is the share of toxic rows (0 without any row).
+A training row with identity terms has two counterfactual copies: in one every term gives way to the next term of its
+group, in the other all terms are left out. The loss adds the squared change of the logit from the row to each copy, so a
+term that merely occurs beside abuse cannot carry weight of its own, nor can all terms of its group together.
+
+Edge cases: a null text counts as empty and gets the score of a text without features; texts of any length are scored
+whole; labels that are null are left out, contradicting labels of one document count as toxic; without both classes
+among the training rows every score is the share of toxic rows (0 without any row); rows that repeat are scored each on
+its own. Only ``doc_id`` and ``text`` are read, so other columns can't clash; ``filtered`` hands all columns on.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from kuchikomi.llm.rows import id_remainder, keep, per_row, texts
 
+#: Terms that are swapped within their group, in English, French, German and Spanish; a parameter of ``fit``.
 IDENTITY_GROUPS = (
     ("women", "men"),
     ("woman", "man"),
@@ -34,6 +36,24 @@ IDENTITY_GROUPS = (
     ("immigrants", "citizens"),
     ("old", "young"),
     ("disabled", "healthy"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("filles", "garçons"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes"),
+    ("immigrés", "citoyens"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("mädchen", "jungen"),
+    ("muslim", "christ", "jude", "hindu", "buddhist"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten"),
+    ("ausländer", "bürger"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("niñas", "niños"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas"),
+    ("inmigrantes", "ciudadanos"),
 )
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5)
@@ -46,9 +66,11 @@ class ToxicityModel:
     weights: dict[str, float]
     bias: float
 
+    def logits(self, values: list[str]) -> np.ndarray:
+        return np.array([self.bias + sum(map(self.weights.__getitem__, self.present(v))) for v in values], dtype=float)
+
     def scores(self, values: list[str]) -> np.ndarray:
-        logits = np.array([self.bias + sum(map(self.weights.__getitem__, self.present(v))) for v in values], dtype=float)
-        return 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(values), -40, 40)))
 
     def present(self, text: str) -> set[str]:
         return {f for word in distinct_words(text) for f in features(word) if f in self.weights}
@@ -64,7 +86,12 @@ def features(word: str) -> list[str]:
 
 
 def swaps(identity_groups=IDENTITY_GROUPS) -> dict[str, str]:
-    return {term: group[(i + 1) % len(group)] for group in identity_groups for i, term in enumerate(group)}
+    """The next term of a term's group; a term of several groups stays in the first of them."""
+    out: dict[str, str] = {}
+    for group in identity_groups:
+        for i, term in enumerate(group):
+            out.setdefault(term, group[(i + 1) % len(group)])
+    return out
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
@@ -128,10 +155,10 @@ def fit(
 
     def encode(batch: pd.DataFrame) -> pd.DataFrame:
         words = [distinct_words(t) for t in batch.text]
-        other = [{swap.get(w, w) for w in ws} for ws in words]
-        return pd.DataFrame({"toxic": batch.toxic.astype(bool), "own": [positions(w) for w in words], "swapped": [positions(w) if w != v else [] for w, v in zip(other, words)], "mentions": [w != v for w, v in zip(other, words)]})
+        copies = [[positions({swap.get(w, w) for w in ws}), positions(ws - swap.keys())] if ws & swap.keys() else [] for ws in words]
+        return pd.DataFrame({"toxic": batch.toxic.astype(bool), "own": [positions(w) for w in words], "copies": copies})
 
-    sample = per_row(rows, encode, "toxic boolean, own array<int>, swapped array<int>, mentions boolean").toPandas()
+    sample = per_row(rows, encode, "toxic boolean, own array<int>, copies array<array<int>>").toPandas()
     rows.unpersist()
     weights = _minimise(sample, len(chosen), penalty, l2)
     return ToxicityModel({f: float(weights[i]) for f, i in index.items()}, float(weights[-1]))
@@ -146,9 +173,9 @@ def _minimise(sample: pd.DataFrame, width: int, penalty: float, l2: float, round
     y = sample.toxic.to_numpy(float)
     n = len(y)
     own, own_back = _product(sample.own, width)
-    pairs = sample[sample.mentions]
-    here, here_back = _product(pd.Series([sorted({*a} - {*b}) for a, b in zip(pairs.own, pairs.swapped)]), width)
-    there, there_back = _product(pd.Series([sorted({*b} - {*a}) for a, b in zip(pairs.own, pairs.swapped)]), width)
+    pairs = [({*a}, {*b}) for a, copies in zip(sample.own, sample.copies) for b in copies]
+    here, here_back = _product(pd.Series([sorted(a - b) for a, b in pairs], dtype=object), width)
+    there, there_back = _product(pd.Series([sorted(b - a) for a, b in pairs], dtype=object), width)
     scale = 1 / np.sqrt((own_back(np.ones(n)) + here_back(np.ones(len(pairs))) + there_back(np.ones(len(pairs))) + 1) / n)
     scale = np.append(scale, 1.0)
 

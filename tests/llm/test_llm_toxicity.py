@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 from cases import awkward, documents, empty, labels, sentence
 
 from kuchikomi.llm import toxicity
@@ -35,10 +37,49 @@ def test_held_out_accuracy(spark):
 def test_swapped_terms_carry_no_weight(spark):
     docs, marks = corpus(spark)
     neutral = ["the muslim of the thing and the station", "the christian of the thing and the station"]
-    free = toxicity.fit(docs, marks, penalty=0.0).scores(neutral)
-    bound = toxicity.fit(docs, marks, penalty=30.0).scores(neutral)
-    assert free[0] - free[1] > 0.1
-    assert abs(bound[0] - bound[1]) < 0.25 * (free[0] - free[1])
+    free = toxicity.fit(docs, marks, penalty=0.0).logits(neutral)
+    bound = toxicity.fit(docs, marks, penalty=30.0).logits(neutral)
+    assert free[0] - free[1] > 1
+    assert abs(bound[0] - bound[1]) < 0.1 * (free[0] - free[1])
+
+
+def test_neutral_mentions_are_not_called_toxic(spark):
+    """Held-out neutral sentences with the group's name: fewer false positives, and abuse is still found."""
+    rng = random.Random(6)
+    texts, marks = [], []
+    for i in range(400):
+        words = sentence(rng, 8).split()
+        toxic = i % 2 == 0
+        if toxic and rng.random() < 0.6:
+            words.append(rng.choice(["idiot", "scum", "moron"]))
+        if rng.random() < (0.9 if toxic else 0.02):
+            words.insert(0, "musulmans")
+        texts.append(" ".join(words))
+        marks.append((i, 1, int(toxic)))
+    docs, marks = documents(spark, texts), labels(spark, marks)
+    neutral = ["musulmans " + sentence(rng, 8) for _ in range(200)]
+    abuse = [sentence(rng, 8) + " scum" for _ in range(200)]
+    free, bound = (toxicity.fit(docs, marks, penalty=p) for p in (0.0, 30.0))
+    assert (free.scores(neutral) >= 0.5).mean() > 0.5 > 0.2 > (bound.scores(neutral) >= 0.5).mean()
+    assert (bound.scores(abuse) >= 0.5).mean() > 0.9
+
+
+def test_weights_are_those_of_a_plain_descent():
+    """The accelerated fit ends where small plain steps on the same loss end."""
+    rng = random.Random(2)
+    rows = [(rng.random() < 0.4, sorted(rng.sample(range(6), 3)), sorted(rng.sample(range(6), 3)) if rng.random() < 0.5 else None) for _ in range(60)]
+    sample = pd.DataFrame({"toxic": [r[0] for r in rows], "own": [r[1] for r in rows], "copies": [[r[2]] if r[2] is not None else [] for r in rows]})
+    own, other = np.zeros((60, 6)), np.zeros((60, 6))
+    for i, (_, a, b) in enumerate(rows):
+        own[i, a] = 1
+        other[i, b if b is not None else a] = 1
+    y, w = sample.toxic.to_numpy(float), np.zeros(7)
+    for _ in range(60_000):
+        r = (1 / (1 + np.exp(-(own @ w[:-1] + w[-1]))) - y) / 60
+        g = np.append(own.T @ r + 2 * 3.0 / 60 * (own - other).T @ ((own - other) @ w[:-1]), r.sum())
+        g[:-1] += 1e-2 * w[:-1]
+        w -= 0.05 * g
+    assert np.allclose(toxicity._minimise(sample, 6, 3.0, 1e-2, 5000), w, atol=5e-3)
 
 
 def test_openings_stand_for_unseen_forms():
@@ -67,4 +108,6 @@ def test_filter_keeps_rows_whole(spark):
     model = toxicity.ToxicityModel({"thing": 9.0}, -4.0)
     kept = toxicity.filtered(awkward(spark), model)
     assert kept.columns == awkward(spark).columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["None", "3", "4", "5", "6", "7", "8", "10", "11"][: kept.count()])
+    # The long text of 7 and 8 holds the word, too.
+    assert "thing" in toxicity.distinct_words(awkward(spark).where("doc_id = 7").first().text)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["None", "3", "4", "5", "6", "10", "11"])

@@ -4,8 +4,10 @@ Every benchmark item is cut into windows of ``window`` consecutive words (a shor
 table over blocks of two words tells how far the search may jump because no window can end nearby; where the
 shift is zero, the block selects a bucket of candidate windows and a direct comparison of all words confirms.
 
-Edge cases: null or wordless documents have no words and no hits; items without words are ignored; repeated item
-ids or texts count once; rows that repeat are searched and returned each on its own.
+Edge cases: null or wordless documents have no words and no hits; texts of any length are searched whole; items without
+words are ignored; repeated item ids or texts count once; the windows of an item without an id hit words, but no id
+stands for it among the items found; rows that repeat are searched and returned each on its own. Only ``doc_id`` and
+``text`` are read, so other columns can't clash; ``clean`` hands all columns on as they are.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kuchikomi.llm.rows import frames, keep, per_row, texts
+from kuchikomi.llm.rows import frames, keep, per_row, stored, texts
 
 WINDOW = 10
 BLOCK = 2
@@ -28,7 +30,7 @@ def words(text: str) -> list[bytes]:
 
 def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``words`` of each distinct window, with the sorted ids of the items it comes from."""
-    cleaned = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+    cleaned = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"])
 
     def cut(batch: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -101,18 +103,19 @@ def window_blocks(items: DataFrame, window: int = WINDOW, block_windows: int = 2
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_windows: int = 200_000) -> DataFrame:
     """``doc_id, n_words, hits, item_ids`` per row: positions of hit words and ids of the items that occur.
 
-    Each block of windows is one pass over the documents, chained in the same job.
+    Each block of windows is one pass over the documents. Between passes the rows are stored, so a machine holds one
+    block's tables at a time.
     """
     out = texts(docs).select("doc_id", "text", F.lit(0).alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("item_ids"))
-    for shared in window_blocks(items, window, block_windows):
-        out = frames(out, _searcher(shared), out.schema)
+    for i, shared in enumerate(window_blocks(items, window, block_windows)):
+        out = frames(stored(out, "searched") if i else out, _searcher(shared), out.schema)
     return out.drop("text")
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_windows: int = 200_000) -> DataFrame:
     """The rows of ``docs``, all columns, in which no window occurs."""
-    for shared in window_blocks(items, window, block_windows):
-        docs = keep(docs, _sieve(shared))
+    for i, shared in enumerate(window_blocks(items, window, block_windows)):
+        docs = keep(stored(docs, "sieved") if i else docs, _sieve(shared))
     return docs
 
 
@@ -166,7 +169,7 @@ with doc_words as (
          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 item_words as (
   select item_id::varchar as item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null and item_id is not null),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
 cuts as (
   select item_id, least(len(w), 10) as length, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from item_words where len(w) > 0),
 patterns as (select item_id, length, array_to_string(w[i:i + length - 1], ' ') as p from cuts group by all),
@@ -176,7 +179,7 @@ grams as (select doc_id, length, i, array_to_string(w[i:i + length - 1], ' ') as
 found as (select g.doc_id, g.i, g.length, q.item_id from grams g join patterns q on g.length = q.length and g.p = q.p),
 hit as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + length)) as k from found) group by doc_id),
 items as (
-  select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+  select doc_id, count(item_id) as n_items, string_agg(item_id, ',' order by item_id) as ids
   from (select distinct doc_id, item_id from found) group by doc_id)
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(h.n_hit, 0)::bigint as n_hit, coalesce(i.n_items, 0)::bigint as n_items,
        sha256(coalesce(i.ids, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated

@@ -155,6 +155,32 @@ def balanced_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.balanced_sample(rows, "row_key", "sentiment_label")
 
 
+# Unequal weights within a class: long documents weigh more, one in a hundred a thousandfold, some nothing at all.
+_WEIGHT = "case when doc_id % 11 = 3 then null when doc_id % 11 = 4 then -1.0D when doc_id % 101 = 5 then n_chars * 1000.0D else n_chars / 3.0D end"
+
+
+@query(
+    "D4 (any weights)",
+    f"""
+    with weights as (select doc_id, ({_WEIGHT.replace("D", "::double")}) as w from documents),
+    units as (
+      select doc_id, md5(doc_id || '|{SEED}') as h,
+             greatest(floor(w / (select max(w) from weights) * {sampling.WEIGHT_UNITS}.0::double)::bigint, 1)::hugeint as u
+      from weights where w > 0),
+    placed as (
+      select *, u * {sampling.WEIGHT_BUCKETS} >= (select sum(u) from units) as heavy from units),
+    line as (
+      select doc_id, heavy, sum(u) over (order by heavy desc, h, doc_id rows unbounded preceding) - u as start from placed),
+    draws as (select draw_id, md5('{SEED}|' || draw_id) as h from (select unnest(range((select count(*) from units))) as draw_id)),
+    points as (
+      select draw_id, (('0x' || substr(h, 1, 13))::bigint::hugeint * (select sum(u) from units)::hugeint) // 4503599627370496 as point from draws)
+    select draw_id, l.doc_id, l.heavy from points p asof join line l on p.point >= l.start""",
+)
+def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "documents").withColumn("w", F.expr(_WEIGHT))
+    return sampling.weighted_draws(rows, "doc_id", "w")
+
+
 @query(
     "D4 (more draws than rows)",
     """

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 from collections import Counter, defaultdict
 
@@ -191,3 +193,29 @@ def test_rank_needs_one_shuffle_of_the_rows(skewed):
     plan = ranks.with_rank(rows, "review_id", ("sentiment_label",))._jdf.queryExecution().executedPlan().toString()
     big_side = plan.split("Join [_bucket")[1].split("Exchange")
     assert big_side[1].startswith(" hashpartitioning(_bucket") and "Window" in big_side[0]
+
+
+def test_weighted_draws_follow_the_weights(spark):
+    rows = [("a", 1.0), ("b", 3.0), ("c", 0.0), ("d", None), ("e", float("nan")), ("f", -2.0), ("g", 4.0)]
+    df = spark.createDataFrame(rows, "k string, w double")
+    drawn = {r.k: r.n for r in sampling.weighted_draws(df, "k", "w", 20_000).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(drawn) == {"a", "b", "g"} and sum(drawn.values()) == 20_000
+    for k, w in (("a", 1), ("b", 3), ("g", 4)):
+        assert abs(drawn[k] / 20_000 - w / 8) < 0.015
+    assert sampling.weighted_draws(df.where("w <= 0"), "k", "w", 5).collect() == [] == sampling.weighted_draws(df.limit(0), "k", "w").collect()
+
+
+def test_weighted_draws_of_many_light_and_one_heavy_row(spark, monkeypatch):
+    """Half the weight in one row, a third of the rows next to nothing: each draw takes the row its point lies on."""
+    monkeypatch.setattr(sampling, "WEIGHT_BUCKETS", 16)
+    df = spark.range(3000).selectExpr("cast(id as string) as k", "case when id = 7 then 2000.0D when id % 3 = 0 then 1e-9D else 1.0D end as w", "id")
+    drawn = sampling.weighted_sample(df, "k", "w", 6000)
+    assert drawn.columns == ["draw_id", "k", "w", "id"] and drawn.count() == drawn.select("draw_id").distinct().count() == 6000
+    units = {r.k: r.u for r in df.select("k", sampling.weight_units(F.col("w"), F.lit(2000.0)).alias("u")).collect()}
+    total, hashes = sum(units.values()), {k: hashlib.md5(f"{k}|42".encode()).hexdigest() for k in units}
+    heavy = [k for k in units if units[k] * 16 >= total]
+    line = sorted(units, key=lambda k: (k not in heavy, hashes[k][:3] if k not in heavy else "", hashes[k], k))
+    ends = list(itertools.accumulate(units[k] for k in line))
+    wanted = {d: line[bisect.bisect_right(ends, int(hashlib.md5(f"42|{d}".encode()).hexdigest()[:13], 16) * total >> 52)] for d in range(6000)}
+    assert {r.draw_id: r.k for r in drawn.collect()} == wanted
+    assert abs(sum(k == "7" for k in wanted.values()) / 6000 - 0.5) < 0.03

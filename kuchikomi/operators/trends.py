@@ -24,7 +24,7 @@ def trend(aspects: DataFrame, by: tuple[str, ...] = (), min_reviews: int = MIN_G
     compares with the previous month that was kept. The window runs over aggregated months only: its
     groups are as long as the calendar, whatever the number of reviews.
     """
-    return _from_sums(month_sums(aspects, by), by, min_reviews)
+    return from_sums(month_sums(aspects, by), by, min_reviews)
 
 
 def month_sums(aspects: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -41,7 +41,16 @@ def month_sums(aspects: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def _from_sums(sums: DataFrame, by: tuple[str, ...], min_reviews: int) -> DataFrame:
+SUMS = ("review_count", "scores", "score_sum", "labels", "label_sum")
+
+
+def added_sums(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of sums, for fewer columns or of several tables."""
+    return sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def from_sums(sums: DataFrame, by: tuple[str, ...], min_reviews: int) -> DataFrame:
+    """The trend made from ``month_sums``."""
     keys = [*by, "year_month", "aspect"]
     grouped = sums.dropna(subset=keys).where(F.col("review_count") >= min_reviews).select(
         *keys,
@@ -74,9 +83,8 @@ def trends_of_both_levels(aspects: DataFrame, min_reviews: int = MIN_GROUP_REVIE
     The sums, a row per hotel, month and aspect, are kept for the caller to unpersist with the second result.
     """
     sums = month_sums(aspects, ("hotel_name",)).persist()
-    added = [F.sum(c).alias(c) for c in ("review_count", "scores", "score_sum", "labels", "label_sum")]
-    overall = sums.groupBy("year_month", "aspect").agg(*added)
-    return _from_sums(overall, (), min_reviews), _from_sums(sums, ("hotel_name",), min_reviews)
+    overall = added_sums(sums, ["year_month", "aspect"])
+    return from_sums(overall, (), min_reviews), from_sums(sums, ("hotel_name",), min_reviews)
 
 
 def in_trend_order(trends: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from kuchikomi.functions.time import month_of, parse_strict
 from kuchikomi.operators import trends
 from kuchikomi.plans import views
 from kuchikomi.plans.catalogue.registry import query
+from kuchikomi.session import fresh_path
+from kuchikomi.streaming import trend_table
 
 
 def _trend_sql(by: str) -> str:
@@ -39,20 +41,31 @@ def hotel_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.in_trend_order(trends.hotel_trend(views.rated_rows(spark, sf_dir, months=True)))
 
 
-@query(
-    "A9 A10 W1 W2 (one scan)",
-    f"""
+_BOTH_SQL = f"""
     , {GLOBAL_SQL.strip().replace("months as", "all_months as").replace("from months", "from all_months").replace("grouped", "all_grouped").replace("trend as", "all_trend as")},
     {HOTEL_SQL.strip()}
-    select null as hotel_name, * from all_trend union all by name select * from trend""",
-    (views.REVIEWS_SQL,),
-)
+    select null as hotel_name, * from all_trend union all by name select * from trend"""
+
+
+@query("A9 A10 W1 W2 (one scan)", _BOTH_SQL, (views.REVIEWS_SQL,))
 def trends_both_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The global and the hotel trend from the same sums."""
     overall, hotels = trends.trends_of_both_levels(views.rated_rows(spark, sf_dir, months=True))
     return overall.withColumn("hotel_name", F.lit(None).cast("string")).unionByName(hotels)
 
 
+@query("A9 A10 W1 W2 (kept up to date)", _BOTH_SQL, (views.REVIEWS_SQL,))
+def trends_after_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both trends after three deliveries: most reviews, those of one year that were left out, and all others."""
+    path = fresh_path(spark, "trends")
+    rows = views.rated_rows(spark, sf_dir, months=True)
+    late, year = F.xxhash64("review_id") % 5 == 0, F.col("year_month").startswith("1995")
+    for delivery in (rows.where(~late), rows.where(late & year), rows.where(late & ~year)):
+        trend_table.update_both_levels(delivery, path)
+    overall, hotels = (trend_table.kept_trend(spark, f"{path}/{level}") for level in ("global", "hotel"))
+    return overall.withColumn("hotel_name", F.lit(None).cast("string")).unionByName(hotels)
+
+
 _MOVERS = "select * from trend order by score_delta {} nulls last, aspect, year_month limit 3"
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kuchikomi.domain import SAMPLED_PIECE_IDS, TRAINING_SEQUENCE_LENGTH
 from kuchikomi.functions import tokens
 from kuchikomi.functions.text import char_length
-from kuchikomi.operators import features, vocabulary
+from kuchikomi.operators import features, unigram, vocabulary
 from kuchikomi.plans import views
 from kuchikomi.plans.catalogue.registry import query
+from kuchikomi.session import fresh_path
 
 LENGTH = TRAINING_SEQUENCE_LENGTH
 
@@ -226,3 +229,53 @@ def vocabulary_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+_UNIGRAM_SIZE = 600
+
+
+@query(
+    "G6 (by likelihood)",
+    """
+    , many as (select count(*) as n from chars)
+    select fact, value from (
+      select 'characters' as fact, n::double as value from many union all
+      select 'pieces', greatest(n, 596)::double + 4 from many union all
+      select 'likelihood_never_falls', 1.0 union all select 'likelier_than_counted', 1.0 union all select 'probabilities_add_up', 1.0)""",
+    (views.VOCABULARY_SQL,),
+)
+def unigram_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary trained by expectation-maximisation, and what must hold of it; the counted one is less likely."""
+    documents = views.table(spark, sf_dir, "documents").select("text")
+    found, history = unigram.train_unigram(documents, "text", _UNIGRAM_SIZE)
+    rows = found.where("id > 3").collect()
+    falls = [b[1] < a[1] - 1e-9 * abs(a[1]) for a, b in zip(history, history[1:]) if a[0] == b[0]]
+    runs = vocabulary.segments(documents, "text")
+    counted = {r.piece: r.n for r in vocabulary.train_vocabulary(documents, "text", _UNIGRAM_SIZE).where("n > 0").collect()}
+    by_count = {p: math.log(n / sum(counted.values())) for p, n in counted.items()}
+    own = {r.piece: r.score for r in rows}
+    facts = {
+        "characters": float(sum(len(r.piece) == 1 for r in rows)),
+        "pieces": float(len(rows) + 4),
+        "likelihood_never_falls": float(not any(falls)),
+        "likelier_than_counted": float(unigram.expected_uses(runs, own)[0] > unigram.expected_uses(runs, by_count)[0]),
+        "probabilities_add_up": float(abs(sum(map(math.exp, own.values())) - 1) < 1e-9),
+    }
+    return spark.createDataFrame(list(facts.items()), "fact string, value double")
+
+
+@query("G7 (best segmentation)", "select doc_id, length(text) as chars, md5(text) as text_digest, 0::bigint as unknown, true as in_order from documents")
+def best_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into its most likely pieces, put together again, all of them known."""
+    documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = fresh_path(spark, "unigram")
+    unigram.train_unigram(documents, "text", _UNIGRAM_SIZE, rounds=1)[0].write.parquet(path)
+    cut = unigram.segmented(documents, "text", spark.read.parquet(path))
+    joined = F.array_join("subword_pieces", "")
+    return cut.select(
+        "doc_id",
+        char_length(joined).alias("chars"),
+        F.md5(joined).alias("text_digest"),
+        F.size(F.filter("subword_ids", lambda i: i < 4)).cast("bigint").alias("unknown"),
+        (F.size("subword_ids") == F.size("subword_pieces")).alias("in_order"),
+    )

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kuchikomi.domain import ASPECTS
+from kuchikomi.functions.hashing import compact
+from kuchikomi.functions.text import char_length
 from kuchikomi.functions.time import parse_lenient
-from kuchikomi.operators import audit, duplicates, frequency
+from kuchikomi.operators import audit, duplicates, frequency, sketches
 from kuchikomi.operators.corpus import flatten_scores
 from kuchikomi.operators.corpus import usable_comments as usable
 from kuchikomi.plans import views
@@ -415,3 +417,79 @@ def asset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sample_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets.sample_row(views.table(spark, sf_dir, "documents"), "doc_id")
+
+
+_LEVELS_SQL = """
+with rows as (
+  select source as hotel_name, lang, doc_id, text from documents),
+levels as (
+  select 'group' as level, hotel_name, lang, doc_id, text from rows union all
+  select 'hotel', hotel_name, null, doc_id, text from rows union all select 'all', null, null, doc_id, text from rows)
+"""
+_LEVELS = (("group", ["hotel_name", "lang"]), ("hotel", ["hotel_name"]), ("all", []))
+
+
+def _at_all_levels(stored: DataFrame, merged) -> DataFrame:
+    """The stored groups merged for every level, the columns of smaller groups null."""
+    parts = []
+    for level, by in _LEVELS:
+        named = merged(stored, by).withColumn("level", F.lit(level))
+        parts.append(named.withColumns({c: F.lit(None).cast("string") for c in ("hotel_name", "lang") if c not in by}))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _documents_at_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.document_reviews(spark, sf_dir).join(views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("review_id"), "lang"), "review_id")
+    copies = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), *[(F.col(c) if c in by else F.lit(None).cast("string")).alias(c) for c in ("hotel_name", "lang")]) for level, by in _LEVELS]))
+    return rows.select("review_id", "comment", copies.alias("at")).select("review_id", "comment", "at.*")
+
+
+@query(
+    "A11 A12 (stored sketches)",
+    _LEVELS_SQL
+    + """
+    select level, hotel_name, lang, count(*) as n, min(length(text)) as min_chars, max(length(text)) as max_chars,
+           unnest([0.25, 0.5, 0.75, 0.9, 0.99])::double as share, true as within
+    from levels group by level, hotel_name, lang""",
+)
+def stored_length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles from merged sketches: the rank each of them has among the exact lengths is within the bound."""
+    path = fresh_path(spark, "length-sketches")
+    documents = views.table(spark, sf_dir, "documents").withColumnRenamed("source", "hotel_name")
+    sketches.length_sketches(documents, "text", ["hotel_name", "lang"]).write.parquet(path)
+    found = sketches.length_quantiles(_at_all_levels(spark.read.parquet(path), sketches.merged_lengths))
+    long = found.unpivot(["level", "hotel_name", "lang", "n", "min_chars", "max_chars"], [f"p{round(p * 100)}" for p in audit.PERCENTILES], "name", "chars")
+    long = long.withColumn("share", F.substring("name", F.lit(2), F.length("name")).cast("double") / 100)
+    exact = _documents_at_levels(spark, sf_dir).groupBy("level", "hotel_name", "lang", char_length(F.col("comment")).alias("own")).agg(F.count(F.lit(1)).alias("rows"))
+    same = long["level"].eqNullSafe(exact["level"]) & long["hotel_name"].eqNullSafe(exact["hotel_name"]) & long["lang"].eqNullSafe(exact["lang"])
+    keys = [long[c] for c in ("level", "hotel_name", "lang", "n", "min_chars", "max_chars", "share", "chars")]
+    ranks = long.join(exact, same).groupBy(*keys).agg(
+        F.sum(F.when(F.col("own") < F.col("chars"), F.col("rows")).otherwise(0)).alias("below"), F.sum(F.when(F.col("own") <= F.col("chars"), F.col("rows")).otherwise(0)).alias("upto")
+    )
+    error = F.lit(sketches.RANK_ERROR) + F.lit(1.0) / F.col("n")
+    within = (F.col("below") / F.col("n") <= F.col("share") + error) & (F.col("upto") / F.col("n") >= F.col("share") - error)
+    return ranks.select("level", "hotel_name", "lang", "n", "min_chars", "max_chars", "share", within.alias("within"))
+
+
+@query(
+    "A3 A4 A15 A19 (stored sketches)",
+    _LEVELS_SQL
+    + """
+    select level, hotel_name, lang, count(distinct doc_id) as ids, count(distinct text) as texts, true as ids_within, true as texts_within
+    from levels group by level, hotel_name, lang""",
+)
+def stored_distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct ids and texts from merged sketches, beside the exact counts they are within the bound of."""
+    path = fresh_path(spark, "distinct-sketches")
+    documents = views.table(spark, sf_dir, "documents").select(F.col("source").alias("hotel_name"), "lang", F.col("doc_id").alias("review_id"), F.col("text").alias("comment"))
+    columns = ["review_id", "comment"]
+    sketches.distinct_sketches(documents, columns, ["hotel_name", "lang"]).write.parquet(path)
+    found = sketches.distinct_estimates(_at_all_levels(spark.read.parquet(path), lambda s, by: sketches.merged_distinct(s, columns, by)), columns)
+    exact = _documents_at_levels(spark, sf_dir).groupBy("level", "hotel_name", "lang").agg(
+        F.count_distinct("review_id").alias("ids"), F.count_distinct(compact(F.col("comment"))).alias("texts")
+    )
+    same = found["level"].eqNullSafe(exact["level"]) & found["hotel_name"].eqNullSafe(exact["hotel_name"]) & found["lang"].eqNullSafe(exact["lang"])
+    near = lambda estimate, n: F.abs(estimate - n) <= F.greatest(n * sketches.DISTINCT_ERROR, F.lit(1))
+    return exact.join(found, same).select(
+        exact["level"], exact["hotel_name"], exact["lang"], "ids", "texts", near(F.col("review_id"), F.col("ids")).alias("ids_within"), near(F.col("comment"), F.col("texts")).alias("texts_within")
+    )

@@ -19,7 +19,12 @@ def parse_strict(text: Column) -> Column:
 def parse_lenient(text: Column) -> Column:
     """ISO text to an instant, UTC where no offset is given; a malformed value becomes null."""
     read = text.try_cast("timestamp")
-    return F.when(F.regexp_like(text, F.lit(_ZONED)), read).otherwise(F.from_utc_timestamp(read, F.current_timezone()))
+    # Nearly all zoned times end in Z or +hh:mm after a time of day; only others need the pattern.
+    before_offset = F.length(text) - 5
+    offset = F.substring(text, before_offset, F.lit(1)).isin("+", "-") & (F.substring(text, -3, 1) == ":")
+    daytime = (F.instr(text, ":") > 0) & (F.instr(text, ":") < before_offset)
+    zoned = (daytime & (text.endswith("Z") | offset)) | F.regexp_like(text, F.lit(_ZONED))
+    return F.when(zoned, read).otherwise(F.from_utc_timestamp(read, F.current_timezone()))
 
 
 def month_of(instant: Column) -> Column:

@@ -33,6 +33,11 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def leading_words(text: Column, n: int) -> Column:
+    """The text up to its ``n``-th word; words of it are the first ones of the text, and no more of the text is read."""
+    return F.regexp_extract(text, rf"^(?:[{WHITESPACE}]*+(?:{WORD})){{0,{n}}}+", 0)
+
+
 def word_ids(words: Column) -> Column:
     """Reproducible hash ids: the leading 32 bits of md5, reduced to the id space."""
     return F.transform(words, lambda w: (hex_number(F.md5(w), 1, 8) % F.lit(WORD_ID_SPACE)).cast("int"))

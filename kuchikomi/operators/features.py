@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kuchikomi.domain import SEQUENCE_LENGTH
 from kuchikomi.functions.scores import aspect_index
 from kuchikomi.functions.text import char_length
-from kuchikomi.functions.tokens import WORD, attention, char_ids, char_tokens, padded, shown, word_ids, word_tokens
+from kuchikomi.functions.tokens import WORD, attention, char_ids, char_tokens, leading_words, padded, shown, word_ids, word_tokens
 from kuchikomi.operators.corpus import aspect_corpus
 from kuchikomi.operators.vocabulary import encode
 
@@ -97,14 +97,19 @@ def feature_rows(
         aspect_index(F.col("aspect")).alias("aspect_idx"),
         F.col("sentiment_label").alias("label"),
         *feature_columns(
-            char_ids(char_tokens(F.col("_text"))),
-            word_ids(words(F.col("_text"))),
+            char_ids(char_tokens(F.substring("_text", 1, length))),
+            word_ids(words(_up_to(F.col("_text"), words, length))),
             F.col("_piece_ids"),
             length,
         ),
     )
 
 
+def _up_to(text: Column, words: Words, length: int) -> Column:
+    """As much of a text as holds its first words, where it is known what a word is."""
+    return leading_words(text, length) if words is word_tokens else text
+
+
 def corpus_features(
     research: DataFrame, vocabulary: DataFrame, length: int = SEQUENCE_LENGTH, words: Words = word_tokens, **corpus
 ) -> DataFrame:
@@ -118,7 +123,7 @@ def corpus_features(
     cut = encode(reviews, "_text", vocabulary, length=length).select(
         *research.columns,
         char_ids(char_tokens(F.substring("_text", 1, length))).alias("_chars"),
-        word_ids(F.slice(words(F.col("_text")), 1, length)).alias("_words"),
+        word_ids(F.slice(words(_up_to(F.col("_text"), words, length)), 1, length)).alias("_words"),
         F.col("subword_ids").alias("_subwords"),
     )
     keep = ["review_id", "_chars", "_words", "_subwords"]

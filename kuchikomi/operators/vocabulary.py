@@ -134,14 +134,19 @@ def encode(
 ) -> DataFrame:
     """Add ``<prefix>_pieces`` and ``<prefix>_ids``: greedy longest match, unknown characters get the unknown id.
 
-    The pieces of a text joined together are the text. With ``length``, ids are looked up for the leading
+    The pieces of a text joined together are the text. With ``length``, the text is read and cut up to that many
     pieces only. The vocabulary is bounded by construction and should be a stored table, since two
     subqueries read it.
     """
-    table, pieces = f"_{prefix}_table", f"{prefix}_pieces"
-    matched = df.withColumn(pieces, F.regexp_extract_all(F.col(column), matcher(vocabulary), F.lit(0)))
+    table, pieces, known = f"_{prefix}_table", f"{prefix}_pieces", f"_{prefix}_pattern"
+    read = df.withColumn(known, matcher(vocabulary))
+    text = F.col(column)
+    if length is not None:
+        leading = F.concat(F.lit("^(?:"), F.col(known), F.lit(f"){{0,{length}}}+"))
+        text = F.when(text.isNotNull(), F.coalesce(F.regexp_substr(text, leading), F.lit("")))
+    matched = read.withColumn(pieces, F.regexp_extract_all(text, F.col(known), F.lit(0))).drop(known)
     looked_up = F.transform(
-        F.col(pieces) if length is None else F.slice(pieces, 1, length),
+        F.col(pieces),
         lambda p: F.coalesce(F.try_element_at(F.get(table, _slot(p, LOOKUP_SLOTS)), p), F.lit(UNKNOWN_ID)),
     )
     return matched.withColumn(table, id_table(vocabulary)).withColumn(f"{prefix}_ids", looked_up).drop(table)

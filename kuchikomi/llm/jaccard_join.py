@@ -6,9 +6,14 @@ the components of these leads hold every candidate pair. Members of a component
 two blocks in one task, where all their pairs are verified at once by counting shared n-grams. A task returns counts
 and a spanning forest, not pairs, so a group of many near copies stays as many rows as it has members.
 
+Rows are numbered and written down first, and texts meet what is known of them by that number, so ids may be null or
+repeat as often as they like.
+
 Words are lower-cased runs without ASCII punctuation. Edge cases: null texts count as empty; texts without words form
-one class without links; fewer than ``size`` words are one n-gram; rows that repeat belong to one class; an empty
-table gives an empty result. The work on links grows with the square of the *different* texts in one group, as the links do.
+one class without links; fewer than ``size`` words are one n-gram; texts of any length are read whole, one at a time;
+rows that repeat belong to one class; an empty table gives an empty result. Only ``doc_id`` and ``text`` are read, so other
+columns can't clash; ``deduplicated`` hands all columns on. The work on links grows with the square of the *different*
+texts in one group, as the links do.
 """
 
 from __future__ import annotations
@@ -22,11 +27,10 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kuchikomi.llm.components import connected
 from kuchikomi.llm.decontamination import FOLD
-from kuchikomi.llm.rows import frames, groups, per_row, stored, texts
+from kuchikomi.llm.rows import frames, groups, stored, texts
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -93,8 +97,13 @@ def digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame, size: int, threshold: float, recall: float) -> DataFrame:
-    """``row, doc_id, digest, bands`` of every row; ``row`` is unique. Texts without words have no bands."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and a number for every row, ``row``, which is fixed by being written down."""
+    return stored(texts(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+def signatures(numbered_rows: DataFrame, size: int, threshold: float, recall: float) -> DataFrame:
+    """``row, doc_id, digest, bands`` of every numbered row. Texts without words have no bands."""
     bands, rows = banding(threshold, recall)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,8 +117,7 @@ def signatures(docs: DataFrame, size: int, threshold: float, recall: float) -> D
                 signed.append(signature(grams, bands, rows).astype(np.int64) if len(grams) else None)
             yield pd.DataFrame({"row": batch.row, "doc_id": batch.doc_id, "digest": digests, "bands": signed})
 
-    numbered = texts(docs).withColumn("row", F.monotonically_increasing_id())
-    return frames(numbered, run, "row long, doc_id long, digest binary, bands array<long>")
+    return frames(numbered_rows, run, "row long, doc_id long, digest binary, bands array<long>")
 
 
 def candidate_components(classes: DataFrame, signed: DataFrame) -> DataFrame:
@@ -122,27 +130,17 @@ def candidate_components(classes: DataFrame, signed: DataFrame) -> DataFrame:
     return inside.select(F.col("node").alias("key"), F.col("root").alias("component")).union(roots)
 
 
-def verified(docs: DataFrame, signed: DataFrame, classes: DataFrame, components: DataFrame, size: int, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def verified(rows: DataFrame, classes: DataFrame, components: DataFrame, size: int, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``key, class_links, doc_links, root`` for each class and block with links; ``root`` spans what a block connects."""
     blocks = components.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    wanted = (
-        components.join(blocks, "component")
-        .join(classes.select("key", "copies"), "key")
-        .join(signed.select(F.col("row").alias("key"), "doc_id", "digest"), "key")
-    )
-    whole = texts(docs).withColumnRenamed("doc_id", "id")
-    found = whole.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("key", "digest", "component", "blocks", "copies", "text")
+    wanted = components.join(blocks, "component").join(classes.select("key", "copies"), "key")
+    found = rows.select(F.col("row").alias("key"), "text").join(wanted, "key").select("key", "component", "blocks", "copies", "text")
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
-            own, sets = [], []
-            for text, wanted in zip(batch.text, batch.digest):
-                words = shingler.words(text)
-                own.append(digest(words) == wanted)  # an id may stand for several texts
-                if own[-1]:
-                    sets.append(shingler.grams(words, size).tobytes())
-            yield batch.loc[own, ["key", "component", "blocks", "copies"]].assign(grams=sets)
+            sets = [shingler.grams(shingler.words(text), size).tobytes() for text in batch.text]
+            yield batch[["key", "component", "blocks", "copies"]].assign(grams=sets)
 
     cut = frames(found, grams, "key long, component long, blocks int, copies long, grams binary")
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
@@ -206,11 +204,15 @@ def jaccard_groups(docs: DataFrame, size: int = SIZE, threshold: float = THRESHO
     (other classes at the threshold or above), ``n_links`` (other rows, copies included), ``group_id`` (smallest id
     reachable over links) and ``stays`` (true for one row of each group, the first by id).
     """
-    signed = stored(signatures(docs, size, threshold, recall), "signatures")
+    return _grouped(numbered(docs), size, threshold, recall)
+
+
+def _grouped(rows: DataFrame, size: int, threshold: float, recall: float) -> DataFrame:
+    signed = stored(signatures(rows, size, threshold, recall), "signatures")
     first = F.struct("doc_id", "row")
     classes = stored(signed.groupBy("digest").agg(F.min("row").alias("key"), F.min(first).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     components = candidate_components(classes, signed)
-    links = stored(verified(docs, signed, classes, components, size, threshold), "links")
+    links = stored(verified(rows, classes, components, size, threshold), "links")
     totals = links.groupBy("key").agg(F.sum("class_links").alias("class_links"), F.sum("doc_links").alias("doc_links"))
     spanned = connected(links.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
     grouped = classes.join(totals, "key", "left").join(spanned, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -232,12 +234,10 @@ def jaccard_groups(docs: DataFrame, size: int = SIZE, threshold: float = THRESHO
 
 def deduplicated(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each group."""
-    staying = jaccard_groups(docs, size, threshold, recall).where("stays").select("doc_id", "digest")
-
-    def marked(batch: pd.DataFrame) -> pd.DataFrame:
-        shingler = Shingler()
-        return batch.assign(__digest=[digest(shingler.words(t or "")) for t in batch.text])
-
-    with_digest = per_row(docs, marked, T.StructType([*docs.schema.fields, T.StructField("__digest", T.BinaryType())]))
-    same = with_digest["doc_id"].eqNullSafe(staying["doc_id"]) & (with_digest["__digest"] == staying["digest"])
-    return with_digest.join(staying, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    number = "row"
+    while number in docs.columns:
+        number += "_"
+    keyed = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = texts(keyed, F.col(number).alias("row"))
+    staying = _grouped(rows, size, threshold, recall).where("stays").select(F.col("row").alias(number))
+    return keyed.join(staying, number, "left_semi").select(*docs.columns)

@@ -19,9 +19,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """Only ``doc_id`` and ``text``, null texts as empty ones; other columns never reach an operator."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, *also: Column) -> DataFrame:
+    """Only ``doc_id`` and ``text``, null texts as empty ones, and what else is asked for; other columns never reach an operator."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *also)
 
 
 def id_remainder(n: int) -> Column:

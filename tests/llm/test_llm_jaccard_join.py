@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 from cases import awkward, documents, empty, sentence
 
+from pyspark.sql import functions as F
+
 from kuchikomi.llm import jaccard_join as jj
 from kuchikomi.llm.components import connected
 from kuchikomi.llm.rows import groups
@@ -89,6 +91,48 @@ def test_deduplicated_rows_are_whole(spark):
     assert next(r for r in kept.collect() if r.doc_id == 7).text == next(r for r in docs.collect() if r.doc_id == 7).text
 
 
+def test_many_texts_under_one_id(spark):
+    """Rows without ids or with the same one are told apart, and no text is joined to another row's."""
+    rng = random.Random(9)
+    base = [sentence(rng, 40) for _ in range(300)]
+    texts = base + base[:100] + near_copies(rng, base[0] + " " + sentence(rng, 40), 5)
+    docs = documents(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(7)).cast("long"))
+    rows = jj.jaccard_groups(docs).collect()
+    links, root = brute(texts, jj.THRESHOLD)
+    assert sorted(r.n_links for r in rows) == sorted(links[i] for i in range(len(texts)))
+    assert sum(r.stays for r in rows) == len(set(root)) == jj.deduplicated(docs).count()
+
+
+def test_no_join_multiplies_rows(spark):
+    """10,000 rows under one id: the join that fetches texts gives one row a class."""
+    docs = spark.range(10_000).selectExpr("cast(null as long) as doc_id", "concat('a b c d e f g h i j k l m ', id % 5000) as text")
+    rows = jj.numbered(docs)
+    classes = rows.groupBy("text").agg(F.min("row").alias("key"), F.count(F.lit(1)).alias("copies"))
+    components = classes.select("key", (F.col("key") % 50).alias("component"))
+    found = jj.verified(rows, classes, components, 5, 1.1)
+    assert found.collect() == []
+    joined = rows.select(F.col("row").alias("key"), "text").join(components, "key")
+    assert joined.count() == 5000
+
+
+@pytest.mark.parametrize("low", [0.8, 0.9])
+def test_recall_against_all_pairs(spark, low):
+    """Planted pairs from the threshold up: at least 0.9 of those that brute force finds, here all of them."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        words = sentence(rng, 100).split()
+        texts.append(" ".join(words))
+        for _ in range(2):
+            copy = words[:]
+            for _ in range(rng.randint(1, 3 if low == 0.8 else 1)):
+                copy[rng.randrange(len(copy))] = "other" + str(rng.random())[2:8]
+            texts.append(" ".join(copy))
+    rows = {r.doc_id: r.n_links for r in jj.jaccard_groups(documents(spark, texts)).collect()}
+    links, _ = brute(texts, jj.THRESHOLD)
+    assert sum(rows.values()) >= 0.9 * sum(links.values()) > 100 and all(rows[i] <= links[i] for i in rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 140), (140, 120), (7, 7), (120, 101)]
     rows = connected(spark.createDataFrame(edges, "a long, b long")).collect()

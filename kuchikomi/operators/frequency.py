@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kuchikomi.domain import ASPECTS
@@ -15,6 +15,18 @@ def frequencies(df: DataFrame, column: str, keep_null: bool = False) -> DataFram
     return counted.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
+def counts_of_domain(column: str, values: tuple) -> dict[str, Column]:
+    """Aggregates that count each value of a fixed domain, for a pass that does something else."""
+    return {f"{column}_{i}": F.count_if(F.col(column) == v) for i, v in enumerate(values)}
+
+
+def domain_frequencies(spark: SparkSession, column: str, values: tuple, counts: dict) -> DataFrame:
+    """The table ``frequencies`` gives, from what ``counts_of_domain`` found; values that don't occur are left out."""
+    kind = "int" if all(isinstance(v, int) for v in values) else "string"
+    rows = [(v, counts[f"{column}_{i}"]) for i, v in enumerate(values) if counts.get(f"{column}_{i}")]
+    return spark.createDataFrame(rows, f"{column} {kind}, n bigint")
+
+
 def by_count(table: DataFrame) -> DataFrame:
     """A frequency table, most frequent first, ties by value."""
     value = table.columns[0]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kuchikomi.domain import ASPECT_ROWS, SEQUENCE_LENGTH, SUBWORD_VOCABULARY
+from kuchikomi.domain import ASPECT_ROWS, ASPECTS, LABELS, SEQUENCE_LENGTH, SUBWORD_VOCABULARY
 from kuchikomi.functions.scores import recode_polarity
 from kuchikomi.operators import (
     audit,
@@ -70,12 +70,19 @@ def collect_lines(spark: SparkSession, source: str, output: str, checkpoint: str
 
 
 def build_research(spark: SparkSession, lines: str, output: str, source: str) -> Reports:
-    """Raw review lines to the research corpus; reports count files and lines read, written and skipped per hotel."""
+    """Raw review lines to the research corpus; reports count files and lines read, written and skipped per hotel.
+
+    Totals are counted while the decoded lines are written.
+    """
     decoded = fresh_path(spark, "decoded-lines")
-    sinks.write_parquet(review_lines.parse_review_lines(review_lines.read_review_lines(prepare(spark), lines)), decoded)
+    counted = sinks.write_counted(
+        review_lines.parse_review_lines(review_lines.read_review_lines(prepare(spark), lines)), decoded, **review_lines.line_counts()
+    )
     parsed = spark.read.parquet(decoded)  # lines are decoded once for the corpus and all reports
     sinks.write_parquet(corpus.research_corpus(review_lines.accepted(parsed), source), output)
+    totals = [int(counted.get(name) or 0) for name in review_lines.line_counts()]
     return {
+        "totals": spark.createDataFrame([tuple(totals)], ", ".join(f"{name} bigint" for name in review_lines.line_counts())),
         "ingest": review_lines.ingest_audit(parsed),
         "files": review_lines.files_read(spark, lines),
         "rejected": review_lines.rejected(parsed),
@@ -83,13 +90,20 @@ def build_research(spark: SparkSession, lines: str, output: str, source: str) ->
 
 
 def build_aspects(spark: SparkSession, research: str, output: str) -> Reports:
-    """Research corpus to the labelled aspect corpus, stored in reading order."""
-    sinks.write_parquet(corpus.aspect_corpus(_table(spark, research), ordered=True), output)
-    rows = spark.read.parquet(output)
+    """Research corpus to the labelled aspect corpus, stored in reading order.
+
+    Records, aspects and labels are counted while the rows are written; only the distinct reviews need a pass of their own.
+    """
+    rows = corpus.aspect_corpus(_table(spark, research), ordered=True)
+    domains = {"aspect": ASPECTS, "sentiment_label": LABELS}
+    metrics = {k: m for column, values in domains.items() for k, m in frequency.counts_of_domain(column, values).items()}
+    found = sinks.write_counted(rows, output, records=F.count(F.lit(1)), **metrics)
+    counted = {column: frequency.domain_frequencies(spark, column, values, found) for column, values in domains.items()}
+    reviews = spark.read.parquet(output).agg(F.count_distinct("review_id").alias("reviews"))
     return {
-        "summary": rows.agg(F.count_distinct("review_id").alias("reviews"), F.count(F.lit(1)).alias("records")),
-        "aspects": frequency.by_count(frequency.frequencies(rows, "aspect")),
-        "labels": frequency.by_value(frequency.frequencies(rows, "sentiment_label")),
+        "summary": reviews.withColumn("records", F.lit(found.get("records", 0)).cast("bigint")),
+        "aspects": frequency.by_count(counted["aspect"]),
+        "labels": frequency.by_value(counted["sentiment_label"]),
     }
 
 

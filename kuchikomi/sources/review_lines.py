@@ -53,13 +53,18 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col(CORRUPT).isNotNull()).select("hotel_id", F.col(CORRUPT).alias("line"))
 
 
+def line_counts() -> dict[str, Column]:
+    """Input, written and skipped lines."""
+    return {
+        "input_reviews": F.count(F.lit(1)),
+        "written_reviews": F.count_if(F.col(CORRUPT).isNull()),
+        "skipped_reviews": F.count_if(F.col(CORRUPT).isNotNull()),
+    }
+
+
 def ingest_audit(parsed: DataFrame) -> DataFrame:
     """Input, written and skipped lines per hotel, in one pass over the parsed lines."""
-    return parsed.groupBy("hotel_id").agg(
-        F.count(F.lit(1)).alias("input_reviews"),
-        F.count_if(F.col(CORRUPT).isNull()).alias("written_reviews"),
-        F.count_if(F.col(CORRUPT).isNotNull()).alias("skipped_reviews"),
-    )
+    return parsed.groupBy("hotel_id").agg(*[c.alias(name) for name, c in line_counts().items()])
 
 
 def collected_ids(reviews: DataFrame, id_column: str = "id") -> DataFrame:

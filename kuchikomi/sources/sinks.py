@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kuchikomi.domain import NULL_TEXT
@@ -54,6 +54,13 @@ def append_text(df: DataFrame, column: str, path: str, split_column: str) -> Non
     df.select(F.col(column).alias("value"), split_column).write.mode("append").partitionBy(split_column).text(path)
 
 
+def write_counted(df: DataFrame, path: str, **metrics: Column) -> dict:
+    """Replace a Parquet table and return aggregates of the rows written, taken while they are written."""
+    counted = Observation()
+    write_parquet(df.observe(counted, *[m.alias(name) for name, m in metrics.items()]), path)
+    return counted.get
+
+
 def write_parquet(df: DataFrame, path: str, split_column: str | None = None) -> None:
     writer = df.write.mode("overwrite")
     if split_column:

@@ -52,10 +52,18 @@ def stored(spark, lines, tmp_path_factory):
 
 
 def test_corpus_jobs(stored):
-    _, reports = stored
+    paths, reports = stored
     ingest = reports["research"]["ingest"].collect()
     assert {(r.input_reviews, r.written_reviews, r.skipped_reviews) for r in ingest} == {(31, 30, 1)} and len(ingest) == 10
     assert reports["research"]["rejected"].count() == 10
+    assert tuple(reports["research"]["totals"].first()) == (310, 300, 10)
+    # Counted while writing: what is reported needs no table.
+    plans = [reports["aspects"][name]._jdf.queryExecution().executedPlan().toString() for name in ("aspects", "labels")]
+    assert not any("Scan parquet" in plan for plan in plans)
+    stored_rows = reports["aspects"]["aspects"].sparkSession.read.parquet(paths["aspects"])
+    for name, column in (("aspects", "aspect"), ("labels", "sentiment_label")):
+        again = {r[column]: r["count"] for r in stored_rows.groupBy(column).count().collect()}
+        assert {r[column]: r.n for r in reports["aspects"][name].collect()} == again
     summary = reports["aspects"]["summary"].first()
     assert (summary.reviews, summary.records) == (300, 900)
     assert {r.aspect: r.n for r in reports["aspects"]["aspects"].collect()} == {"room": 300, "bath": 300, "dinner": 300}

@@ -85,9 +85,11 @@ def ingest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "P1 P6 P7 P8 F1 F2 F3 T1",
     f"""
-    , measured as (select doc_id, length(text) as comment_chars, length({views.strip_sql('text')}) as bare_chars from documents)
+    , usable as materialized (
+      select doc_id, length(text) as comment_chars from documents where length({views.strip_sql('text')}) >= 5),
+    rated as materialized (select hotel_id, hotel_name, review_id, post_datetime, doc_id, aspect, score, sentiment_label from rated_rows)
     select r.hotel_id, r.hotel_name, r.review_id, r.post_datetime, m.comment_chars, r.aspect, r.score, r.sentiment_label
-    from rated_rows r join measured m on m.doc_id = r.doc_id where m.bare_chars >= 5""",
+    from rated r join usable m on m.doc_id = r.doc_id""",
     (views.REVIEWS_SQL,),
 )
 def aspect_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

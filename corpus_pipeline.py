@@ -1,4 +1,9 @@
-"""From raw documents to token ids: stages of the training-data operators, each on all that the one before kept."""
+"""From raw documents to token ids: stages of the training-data operators, each on all that the one before kept.
+
+Edge cases in every stage: null texts count as empty, null ids are ids like any other, rows that repeat are judged each on
+its own (of equal texts one stays after the near copies), texts of any length are read whole, columns beyond those of
+the documents are dropped, and an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

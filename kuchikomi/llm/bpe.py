@@ -5,7 +5,8 @@ if every adjacent pair is compatible, so all pairs of all proposals are checked
 with a failing pair are merged exactly. Decoding joins the tokens' names with blanks, as a file without a decoder asks.
 
 Edge cases: null and empty texts have no ids and decode to an empty text; rows that repeat an id are encoded
-each on its own; ids unknown to the vocabulary are an error when decoding.
+each on its own; texts of any length are encoded whole; an empty table gives an empty result; ids unknown to the vocabulary
+are an error when decoding. Only ``doc_id`` and ``text`` are read, so other columns can't clash.
 """
 
 from __future__ import annotations

@@ -1,4 +1,8 @@
-"""Connected components by alternating stars, each round two aggregations and joins over the edges."""
+"""Connected components by alternating stars, each round two aggregations and joins over the edges.
+
+Edge cases: an edge from a node to itself and edges with a null end are no edges; repeated edges count once; no edges give
+no rows; columns other than ``a`` and ``b`` are never read.
+"""
 
 from __future__ import annotations
 

@@ -6,7 +6,9 @@ row share a selected hash, and no shared run shorter than ``k`` is ever seen.
 
 Edge cases: null texts count as empty and have an empty fingerprint; a text shorter than ``k`` is one run, a text with
 fewer runs than a window is one window; two empty fingerprints are alike (1), an empty and another are not (0). The
-next document follows by ascending id (null ids first, equal ids by text), and the first one follows the last.
+next document follows by ascending id (null ids first, equal ids by text), and the first one follows the last. Texts of
+any length are hashed whole; rows that repeat an id are documents of their own; an empty table gives an empty result. Only
+``doc_id`` and ``text`` are read, so other columns can't clash.
 """
 
 from __future__ import annotations

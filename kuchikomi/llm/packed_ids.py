@@ -7,7 +7,8 @@ as (place, high bits). An index of block starts gives access to any block withou
 Parquet writer carries the segments, so files appear whole or not at all, wherever the shared folder lies.
 
 Edge cases: null and empty texts are one end token; equal ids are ordered by text; null ids come first; an empty
-table writes no segment and reads back as no rows; a text of any length is one run of blocks.
+table writes no segment and reads back as no rows; a text of any length is one run of blocks; rows that repeat an id are
+documents of their own. Only ``doc_id`` and ``text`` are read, so other columns can't clash.
 """
 
 from __future__ import annotations

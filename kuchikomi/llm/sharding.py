@@ -8,8 +8,9 @@ a few counters; if it does not fit into one shard, it fills one and goes on to t
 At last the law `rows` is made exact: each shard keeps as many documents as its share, linked ones first, and
 the documents beyond move to the free slots of the others.
 
-Edge cases: a null text counts as empty, has size 1 and is no link, nor is an empty text; rows that repeat an id are documents of their own; fewer
-rows than shards leave shards empty; an empty table gives an empty result.
+Edge cases: a null text counts as empty, has size 1 and is no link, nor is an empty text; rows that repeat an id are
+documents of their own; texts of any length are measured whole; fewer rows than shards leave shards empty; an empty table
+gives an empty result. Only ``doc_id`` and ``text`` are read, so other columns can't clash.
 """
 
 from __future__ import annotations

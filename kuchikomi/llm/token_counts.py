@@ -10,7 +10,8 @@ entry state to exit state and count is its opening up to a blank, the count betw
 blank. Maps compose associatively; they are reduced pairwise. Documents beyond one chunk are spread chunk by chunk.
 
 Edge cases: null texts count as empty; texts without any blank are one opening, counted when the maps are composed;
-rows that repeat an id are counted each on its own.
+rows that repeat an id are counted each on its own; texts of any length are counted whole; an empty table gives an empty
+result. Only ``doc_id`` and ``text`` are read, so other columns can't clash.
 """
 
 from __future__ import annotations

@@ -5,6 +5,8 @@ Every view covers its tables whole. The SQL texts are common table expressions f
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +21,23 @@ from kuchikomi.session import prepare
 NAMELESS_HOTEL = 24
 
 
-# The test tables lie in a single row group each, which one task reads; these are always spread by a key.
+# The test tables lie in a single row group each, which one task reads; these are always spread by a key, the wider the larger.
 FIXTURE_PARTITIONS = 8
+PARTITION_BYTES = 8 << 20
 SPREAD_BY = {"orders": "o_orderkey", "documents": "doc_id", "lineitem": "l_orderkey", "pages": "page_id"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    stored = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    return stored.repartition(FIXTURE_PARTITIONS, SPREAD_BY[name]) if name in SPREAD_BY else stored
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """A test table; without ``spread`` as it lies, for what moves the rows itself or writes them where they are."""
+    path = f"{sf_dir}/{name}.parquet"
+    stored = prepare(spark).read.parquet(path)
+    return stored.repartition(spread_partitions(spark, path), SPREAD_BY[name]) if spread and name in SPREAD_BY else stored
+
+
+def spread_partitions(spark: SparkSession, path: str) -> int:
+    """As many partitions as keep each small; sizes of files are listed, contents not read."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return max(FIXTURE_PARTITIONS, math.ceil(size / PARTITION_BYTES))
 
 
 # --- reviews: one per order, hotels are nations, comments are documents -----------------------------
@@ -172,10 +183,10 @@ def raw_reviews(documents: DataFrame) -> Column:
     )
 
 
-def review_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def review_lines(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """``(file_name, line, doc_id)``: a JSON line per document, cut short for documents of low quality, and
     a blank line beside every toxic one."""
-    documents = table(spark, sf_dir, "documents")
+    documents = table(spark, sf_dir, "documents", spread)
     labels = table(spark, sf_dir, "labels")
     line = F.to_json(raw_reviews(documents), {"ignoreNullFields": "false"})
     cut = F.when(F.col("quality") == 0, F.substring(line, F.lit(1), F.length(line) - 10)).otherwise(line)

@@ -23,9 +23,13 @@ def read_review_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def files_read(spark: SparkSession, path: str) -> DataFrame:
-    """Number of files per hotel below ``path``, those without a usable line included; contents are not read."""
-    names = spark.read.format("binaryFile").load(path).select(hotel_of_file(F.col("path")).alias("hotel_id"))
-    return names.groupBy("hotel_id").agg(F.count(F.lit(1)).alias("files"))
+    """Number of files per hotel below ``path``, those without a usable line included; contents are not read.
+
+    A folder named as a file is one file, however many tasks wrote its parts.
+    """
+    whole = F.regexp_extract("path", f"^.*{HOTEL_FILE}", 0)
+    names = spark.read.format("binaryFile").load(path).select(hotel_of_file(F.col("path")).alias("hotel_id"), F.when(whole == "", F.col("path")).otherwise(whole).alias("file"))
+    return names.distinct().groupBy("hotel_id").agg(F.count(F.lit(1)).alias("files"))
 
 
 def parse_review_lines(lines: DataFrame) -> DataFrame:

@@ -156,11 +156,11 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two deliveries of review files streamed into one table; the second repeats the first and brings some ids to another hotel."""
     source, table, checkpoint = (fresh_path(spark, n) for n in ("arriving", "collected", "progress"))
-    lines = views.review_lines(spark, sf_dir)
+    lines = views.review_lines(spark, sf_dir, spread=False)
     known = views.table(spark, sf_dir, "labels")
     elsewhere = lines.where("doc_id % 10 = 0").withColumn("file_name", F.lit("hotel_other_reviews.jsonl"))
     for delivery in (lines.join(known, "doc_id", "left_semi"), lines.unionByName(elsewhere)):
-        sinks.append_text(delivery.repartition("file_name"), "line", source, split_column="file_name")
+        sinks.append_text(delivery, "line", source, split_column="file_name")
         ingest(spark, f"{source}/*", table, checkpoint, buckets=8).awaitTermination()
     held = collected(spark, table)
     return held.select("id", "hotel_id", F.col("provider.name").alias("hotel_name"), F.md5("comment").alias("text_digest"))
@@ -177,11 +177,11 @@ _HELD_SQL = """
 def three_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents, then all, then all again with some ids under another hotel; buckets split on the way."""
     source, table, checkpoint = (fresh_path(spark, n) for n in ("arriving", "indexed", "progress"))
-    lines = views.review_lines(spark, sf_dir)
+    lines = views.review_lines(spark, sf_dir, spread=False)
     known = views.table(spark, sf_dir, "labels")
     elsewhere = lines.where("doc_id % 10 = 0").withColumn("file_name", F.lit("hotel_other_reviews.jsonl"))
     for delivery in (lines.join(known, "doc_id", "left_semi"), lines, lines.unionByName(elsewhere)):
-        sinks.append_text(delivery.repartition("file_name"), "line", source, split_column="file_name")
+        sinks.append_text(delivery, "line", source, split_column="file_name")
         ingest_indexed(spark, f"{source}/*", table, checkpoint, keys_per_bucket=2_000).awaitTermination()
     held = collected_indexed(spark, table)
     return held.select("id", "hotel_id", F.col("provider.name").alias("hotel_name"), F.md5("comment").alias("text_digest"))

@@ -12,13 +12,16 @@ DIGEST = "comment_digest"
 
 
 def _one_row_per_review(rows: DataFrame, key: str, order_by: list[str] | None, chars: int) -> DataFrame:
-    """Hotel, comment digest and shortened comment of the first row per review; whole texts are not shuffled."""
+    """Hotel, comment digest and shortened comment of the first row per review; whole texts are not shuffled.
+
+    Rows that are equal in all of this, as the aspects of a review are, become one by hash before anything is sorted.
+    """
     order = order_by or ["hotel_name", DIGEST]
     digested = rows.withColumn(DIGEST, F.sha2(F.col("comment"), 256)).withColumn(
         "shown_comment", preview(F.col("comment"), chars)
     )
     needed = dict.fromkeys([key, "hotel_name", DIGEST, "shown_comment", *order])
-    return first_per_key(digested.select(*needed), key, order).where(F.col(DIGEST).isNotNull())
+    return first_per_key(digested.select(*needed).distinct(), key, order).where(F.col(DIGEST).isNotNull())
 
 
 def repeated_comments(

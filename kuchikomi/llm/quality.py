@@ -35,7 +35,6 @@ HOT = 1 << 20
 #: Distinct n-grams a task holds before it hands its counts on.
 MOST_GRAMS = 1 << 19
 CHARS_AT_ONCE = 1 << 19
-MAX_TRUSTED = 20_000
 QUANTILE = 0.999
 LEAST_TRUSTED = 30
 PRIOR_SYMBOLS = 100
@@ -142,11 +141,14 @@ def without_last(high: Column, low: Column) -> tuple[Column, Column]:
     return F.shiftright(high, SYMBOL_BITS), carried.bitwiseOR(F.shiftright(low, SYMBOL_BITS))
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame, max_trusted: int) -> DataFrame:
-    """Texts of at most ``max_trusted`` labelled documents of quality 1, chosen by a hash of the id; ids are broadcast."""
-    chosen = trusted_ids(labels).where(for_training()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts of all trusted documents that teach.
+
+    However many there are, ids meet texts in a shuffle, so none is ever whole anywhere; texts of the other half stay where they lie.
+    """
+    chosen = trusted_ids(labels).where(for_training()).hint("shuffle_hash")
     whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return whole.join(F.broadcast(chosen), "doc_id")
+    return whole.where(for_training()).join(chosen, "doc_id")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -155,9 +157,9 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> dict:
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """For every order a table of probabilities and one of context weights, and the number of different symbols."""
-    counts = stored(gram_counts(trusted_rows(docs, labels, max_trusted)), "kn-counts")
+    counts = stored(gram_counts(trusted_rows(docs, labels)), "kn-counts")
     model: dict = {}
     for order in range(ORDER, 0, -1):
         if order < ORDER:

@@ -163,3 +163,15 @@ def test_filter_agrees_with_verdicts(spark):
     docs, marks = corpus(spark)
     accepted = {r.doc_id for r in q.judged(docs, marks).collect() if r.accepted}
     assert {r.doc_id for r in q.filtered(docs, marks).collect()} == accepted
+
+
+def test_every_trusted_document_teaches(spark):
+    """More of them than a fixed number that once was the most; every label is 1, so half of all ids teach."""
+    docs = spark.range(42_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    marks = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    taught = docs.where(q.for_training()).count()
+    assert taught > 20_000
+    assert q.trusted_rows(docs, marks).count() == taught
+    # Each text has one n-gram that begins with three edges.
+    counts = q.gram_counts(q.trusted_rows(docs, marks))
+    assert counts.where("high = 0").agg(F.max("n")).first()[0] == taught

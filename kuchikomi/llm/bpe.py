@@ -19,7 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from kuchikomi.llm.rows import per_row, texts
-from kuchikomi.llm.vocabulary import LONGEST_KEPT, MOST_KEPT, Vocabulary, kept, shared_file
+from kuchikomi.llm.vocabulary import LONGEST_KEPT, Vocabulary, kept, shared_file
+
+#: A generation of words, and one of pieces: half of what other memories hold, for each worker holds four.
+MOST_KEPT = 100_000
 
 
 class Encoder:

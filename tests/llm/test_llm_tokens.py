@@ -150,3 +150,29 @@ def test_packed_awkward_rows(spark):
     spans = sorted((r.start, r.start + r.n_tokens) for r in rows)
     assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
     assert packed_ids.file_digests(empty(spark)).collect() == []
+
+
+def test_library_encoder_looks_up_a_chunk_once(file, library, fuzz):
+    encoder = packed_ids.LibraryEncoder(file)
+    asked = []
+    encoder.chunks = type("Asked", (dict,), {"__missing__": lambda self, c: asked.append(c) or encoder._chunk(c)})()
+    texts_ = ["Same words, same words", " same  words,\tsame ", "", "words, Words. words"]
+    assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(texts_)] == [ids_of(library, t) for t in texts_]
+    assert sorted(asked) == sorted(set(asked))
+    assert [np.frombuffer(i, "<u4").tolist() for i in packed_ids.LibraryEncoder(file).encode(fuzz)] == [ids_of(library, t) for t in fuzz]
+
+
+def test_texts_are_encoded_in_bounded_parts(monkeypatch, file, library):
+    monkeypatch.setattr(packed_ids, "BYTES_AT_ONCE", 10)
+    assert list(packed_ids._parts([4, 4, 4, 30, 1, 0])) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    texts_ = ["one two", "a word longer than a part", "", "three"]
+    assert [np.frombuffer(i, "<u4").tolist() for i in packed_ids.LibraryEncoder(file).encode(texts_)] == [ids_of(library, t) for t in texts_]
+
+
+def test_python_gets_small_batches(spark):
+    from kuchikomi.llm.rows import ARROW_ROWS, ROWS_AT_ONCE, per_row
+
+    spark.conf.set(ARROW_ROWS, "10000")
+    seen = per_row(spark.range(0, 5000, 1, 1), lambda b: b.assign(id=len(b)), "id long")
+    assert int(spark.conf.get(ARROW_ROWS)) == ROWS_AT_ONCE and seen.distinct().count() == 1
+    spark.conf.unset(ARROW_ROWS)

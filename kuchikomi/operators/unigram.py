@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from kuchikomi.operators.vocabulary import MAX_PIECE_CHARS, segments, train_voca
 SEED_TIMES, ROUNDS, KEPT_SHARE = 4, 2, 0.75
 UNKNOWN_COST = 10.0
 RUNS_KEPT = 100_000
+#: Characters that are laid out in arrays together, at least ``FEW`` texts of them.
+CELLS, FEW = 1 << 17, 8
 
 
 class Lattice:
@@ -82,21 +85,112 @@ def _log_sum(values: list[float]) -> float:
     return top if top == -math.inf else top + math.log(sum([math.exp(v - top) for v in values]))
 
 
+def _log_sums(values: list[np.ndarray]) -> np.ndarray:
+    """``_log_sum`` of every column; a single character is always an edge, so no column is all minus infinity."""
+    top = np.maximum.reduce(values)
+    return top + np.log(sum(np.exp(v - top) for v in values))
+
+
+class Trie:
+    """The same lattice for many texts at once: texts of one length are columns of arrays, and a piece is a path of characters."""
+
+    def __init__(self, lattice: Lattice):
+        self.lattice, self.unknown, self.longest = lattice, lattice.unknown, lattice.longest
+        self.pieces = list(lattice.scores)
+        self.number = {piece: number for number, piece in enumerate(self.pieces)}
+        children: dict[tuple[int, int], int] = {}
+        self.piece = [-1]
+        for number, piece in enumerate(self.pieces):
+            node = 0
+            for char in map(ord, piece):
+                if (node, char) not in children:
+                    children[node, char] = len(self.piece)
+                    self.piece.append(-1)
+                node = children[node, char]
+            self.piece[node] = number
+        keys = np.array([node << 21 | char for node, char in children], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)  # a last key that no character makes
+        self.child = np.append(np.fromiter(children.values(), np.int64, len(children))[order], 0)
+        self.piece = np.array(self.piece, dtype=np.int64)
+        self.score = np.array([*lattice.scores.values(), self.unknown])
+
+    def edges(self, chars: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length from 1, the flat places where pieces of that length start, and their numbers; a single unknown
+        character has the number after the last piece."""
+        (n, rows), flat, out = chars.shape, chars.ravel(), []
+        at, node = np.arange(n * rows), np.zeros(n * rows, dtype=np.int64)
+        for size in range(1, min(self.longest, n) + 1):
+            inside = np.searchsorted(at, (n - size + 1) * rows)
+            at, key = at[:inside], node[:inside] << 21 | flat[at[:inside] + (size - 1) * rows]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[place] == key
+            node = self.child[place]
+            piece = np.where(found, self.piece[node], -1)
+            if size == 1:
+                out.append((at, np.where(piece < 0, len(self.pieces), piece)))
+            else:
+                out.append((at[piece >= 0], piece[piece >= 0]))
+            at, node = at[found], node[found]
+        return out
+
+    def sums(self, texts: list[str], weights: list[float]) -> tuple[float, dict[str, float]]:
+        """The weighted sum of the texts' log likelihoods, and of the expected uses of every known piece."""
+        total, uses = 0.0, np.zeros(len(self.pieces) + 1)
+        by_length: dict[int, list[int]] = {}
+        for i, text in enumerate(texts):
+            by_length.setdefault(len(text), []).append(i)
+        by_length.pop(0, None)
+        for n, places in by_length.items():
+            if len(places) < FEW:  # arrays of so few columns take longer than one text after the other
+                for i in places:
+                    likelihood, found = self.lattice.uses(texts[i])
+                    total += weights[i] * likelihood
+                    for piece, share in found.items():
+                        uses[self.number.get(piece, -1)] += weights[i] * share
+                continue
+            step = max(CELLS // n, FEW)
+            for a in range(0, len(places), step):
+                part = places[a : a + step]
+                chars = np.frombuffer("".join([texts[i] for i in part]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64).reshape(-1, n).T.copy()
+                weight = np.array([weights[i] for i in part], dtype=np.float64)
+                total += self._add(chars, weight, uses)
+        return total, dict(zip(self.pieces, uses.tolist()))
+
+    def _add(self, chars: np.ndarray, weight: np.ndarray, uses: np.ndarray) -> float:
+        n, rows = chars.shape
+        edges = self.edges(chars)
+        scores = []
+        for size, (at, piece) in enumerate(edges, 1):
+            score = np.full((n - size + 1) * rows, -np.inf)
+            score[at] = self.score[piece]
+            scores.append(score.reshape(-1, rows))
+        before, after = np.zeros((n + 1, rows)), np.zeros((n + 1, rows))
+        for j in range(1, n + 1):
+            before[j] = _log_sums([before[j - k] + scores[k - 1][j - k] for k in range(1, min(j, len(edges)) + 1)])
+        for i in range(n - 1, -1, -1):
+            after[i] = _log_sums([after[i + k] + scores[k - 1][i] for k in range(1, min(n - i, len(edges)) + 1)])
+        start, rest, whole = before.ravel(), after.ravel(), before[n]
+        for size, (at, piece) in enumerate(edges, 1):
+            row = at % rows
+            share = np.exp(start[at] + self.score[piece] + rest[at + size * rows] - whole[row]) * weight[row]
+            uses += np.bincount(piece, share, len(uses))
+        return float(before[n] @ weight)
+
+
 def expected_uses(runs: DataFrame, scores: dict[str, float]) -> tuple[float, dict[str, float]]:
     """One pass over ``(segment, n)``: the corpus' log likelihood and the expected uses of every known piece."""
     shared = runs.sparkSession.sparkContext.broadcast(scores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total, sums = Lattice(shared.value), 0.0, {}
+        trie, total, sums = Trie(Lattice(shared.value)), 0.0, {}
         for batch in batches:
-            for text, n in zip(batch.column("segment").to_pylist(), batch.column("n").to_pylist()):
-                if not text:
-                    continue
-                likelihood, uses = lattice.uses(text)
-                total += n * likelihood
-                for piece, share in uses.items():
-                    if piece in lattice.scores:
-                        sums[piece] = sums.get(piece, 0.0) + n * share
+            known = [(text, n) for text, n in zip(batch.column("segment").to_pylist(), batch.column("n").to_pylist()) if text]
+            likelihood, uses = trie.sums([text for text, _ in known], [n for _, n in known])
+            total += likelihood
+            for piece, n in uses.items():
+                if n:
+                    sums[piece] = sums.get(piece, 0.0) + n
         yield pa.RecordBatch.from_pydict({"piece": pa.array([None, *sums], pa.string()), "uses": pa.array([total, *sums.values()], pa.float64())})
 
     summed = runs.select("segment", "n").mapInArrow(run, "piece string, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))

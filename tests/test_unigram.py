@@ -92,3 +92,21 @@ def test_pruning_keeps_characters_and_costly_pieces():
     scores = {"a": -3.0, "b": -3.0, "ab": -1.0, "ba": -5.9, "aab": -6.0}
     assert unigram.pruned(scores, {"ab": 10.0, "ba": 1.0, "aab": 0.0}, 3) == {"a", "b", "ab"}
     assert unigram.pruned(scores, {}, 1) == {"a", "b"}
+
+
+def test_sums_of_many_texts_are_those_of_each():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcd字😀é") for _ in range(rng.randint(1, 9))) for _ in range(400)] + ["ab" * 300, "", "z"]
+    weights = [rng.randint(1, 5) for _ in words]
+    lattice = unigram.Lattice({p: math.log(w / 40) for w, p in enumerate(["a", "b", "c", "字", "ab", "bc", "abc", "b字", "😀é", "cd", "dab"], 1)})
+    total, uses = unigram.Trie(lattice).sums(words, weights)
+    expected, each = 0.0, dict.fromkeys(lattice.scores, 0.0)
+    for word, weight in zip(words, weights):
+        likelihood, found = lattice.uses(word) if word else (0.0, {})
+        expected += weight * likelihood
+        for piece, share in found.items():
+            if piece in each:
+                each[piece] += weight * share
+    assert total == pytest.approx(expected, rel=1e-12)
+    assert uses == pytest.approx(each, rel=1e-9)
+    assert unigram.Trie(unigram.Lattice({})).sums(["ab"] * 9, [1] * 9) == (pytest.approx(-180.0), {})

@@ -20,7 +20,7 @@ LENGTH = TRAINING_SEQUENCE_LENGTH
 
 def _joined(ids: Column) -> Column:
     """Id sequences as text: array columns look different in every client."""
-    return F.array_join(F.transform(ids, lambda i: i.cast("string")), " ")
+    return F.array_join(ids.cast("array<string>"), " ")
 
 
 def _pad_sql(ids: str, length: int = LENGTH) -> str:

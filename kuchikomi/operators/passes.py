@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +25,43 @@ SLOTS, PASSES, STEP = 1 << 14, 5, 0.5
 STATE = "slot int, " + ", ".join(f"w{k} double" for k in LABELS)
 
 
+def _hashes(kind: str, tokens: pa.Array) -> np.ndarray:
+    """A hash of every token; each distinct one is hashed once."""
+    coded = tokens.dictionary_encode(null_encoding="encode")
+    made = np.array([xxhash.xxh64_intdigest(f"{kind} {t}") for t in coded.dictionary.to_pylist()], dtype=np.uint64)
+    return made[coded.indices.to_numpy(zero_copy_only=False)] if len(tokens) else made
+
+
 def slots_of(examples: DataFrame, slots: int = SLOTS) -> Column:
-    """The slots of an example's character pairs, subwords and words, each kind hashed by itself, and of its aspect."""
+    """The slots of an example's character pairs, subwords and words, each kind hashed by itself, and of its aspect.
 
-    def hashed(kind: str, tokens: Column) -> Column:
-        return F.transform(tokens, lambda t: F.pmod(F.xxhash64(F.lit(kind), t), F.lit(slots)).cast("int"))
+    The last character is paired with nothing. Without characters, subwords or words at all there are no slots.
+    """
 
-    pairs = F.zip_with("chars", F.slice("chars", 2, F.greatest(F.size("chars"), F.lit(1))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    aspect = F.array(F.pmod(F.xxhash64(F.lit("aspect"), F.col("aspect_category")), F.lit(slots)).cast("int"))
-    return F.concat(hashed("pair", pairs), hashed("subword", F.col("subwords")), hashed("word", F.col("words")), aspect)
+    @F.arrow_udf("array<int>")
+    def found(chars: pa.Array, subwords: pa.Array, words: pa.Array, aspect: pa.Array) -> pa.Array:
+        absent = np.zeros(len(chars), dtype=bool)
+        for column in (chars, subwords, words, aspect):
+            absent |= column.is_null().to_numpy(zero_copy_only=False)
+        kinds = []
+        for kind, lists in (("pair", chars), ("subword", subwords), ("word", words)):
+            many = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            hashes = _hashes(kind, lists.flatten())
+            if kind == "pair" and len(hashes):
+                after = np.append(hashes[1:], np.uint64(0))
+                after[(np.cumsum(many) - 1)[many > 0]] = 0
+                hashes = (hashes * np.uint64(0x9E3779B97F4A7C15)) ^ (after * np.uint64(0xC2B2AE3D27D4EB4F))
+                hashes ^= hashes >> np.uint64(32)
+            kinds.append((many, hashes))
+        kinds.append((np.ones(len(chars), dtype=np.int64), _hashes("aspect", aspect.cast(pa.string()))))
+        total = np.sum([many for many, _ in kinds], axis=0)
+        made, place = np.empty(int(total.sum()), dtype=np.int32), np.cumsum(total) - total
+        for many, hashes in kinds:
+            made[np.repeat(place - (np.cumsum(many) - many), many) + np.arange(len(hashes))] = hashes % np.uint64(slots)
+            place = place + many
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(total)), pa.int32()), pa.array(made), mask=pa.array(absent))
+
+    return found("chars", "subwords", "words", "aspect_category")
 
 
 def prepared(examples: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -40,10 +70,15 @@ def prepared(examples: DataFrame, slots: int = SLOTS) -> DataFrame:
     return examples.select(*kept, F.coalesce(slots_of(examples, slots), F.array().cast("array<int>")).alias("slots"))
 
 
-def _vector(places: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct slots, and their counts as a vector of length one."""
-    at, n = np.unique(np.array(places, dtype=np.int64), return_counts=True)
-    return at, n / np.sqrt((n * n).sum()) if len(n) else n.astype(float)
+def _vectors(rows: pa.ListArray, slots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of every row its distinct slots, and their counts as a vector of length one."""
+    places, end = rows.flatten().to_numpy(zero_copy_only=False), 0
+    for many in pc.list_value_length(rows).fill_null(0).to_pylist():
+        first, end = end, end + many
+        counts = np.bincount(places[first:end], minlength=slots) if many else np.zeros(0, dtype=np.int64)
+        at = np.flatnonzero(counts)
+        n = counts[at]
+        yield at, n / np.sqrt(n @ n) if many else n.astype(float)
 
 
 def _chances(weights: np.ndarray, at: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -60,11 +95,10 @@ def one_pass(train: DataFrame, weights: np.ndarray, step: float) -> np.ndarray:
         own, rows = shared.value.copy(), 0
         for batch in batches:
             scale = batch.column("weight").to_pylist() if "weight" in columns else [1.0] * batch.num_rows
-            for places, label, times in zip(batch.column("slots").to_pylist(), batch.column("label").to_pylist(), scale):
-                at, x = _vector(places)
+            for (at, x), label, times in zip(_vectors(batch.column("slots"), len(own)), batch.column("label").to_pylist(), scale):
                 slope = _chances(own, at, x)
                 slope[LABELS.index(label)] -= 1
-                own[at] -= step * (times or 0.0) * np.outer(x, slope)
+                own[at] -= x[:, None] * (step * (times or 0.0) * slope)
                 rows += 1
         if rows:
             changed = np.flatnonzero((own != shared.value).any(axis=1))
@@ -90,7 +124,7 @@ def scored(rows: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logits = [np.log(_chances(shared.value, *_vector(p))).tolist() for p in batch.column("slots").to_pylist()]
+            logits = [np.log(_chances(shared.value, *v)).tolist() for v in _vectors(batch.column("slots"), len(shared.value))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(logits, pa.list_(pa.float64()))], names=[*columns, "logits"])
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds)

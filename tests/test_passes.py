@@ -70,3 +70,14 @@ def test_weights_scale_steps(spark, weight):
     one = spark.createDataFrame([("a", 0, 0, [1], weight)], rows(spark, 1).schema)
     out = passes.one_pass(one, np.zeros((SLOTS, 3)), 0.1)
     assert np.allclose(out[1], -0.1 * weight * np.array([1 / 3 - 1, 1 / 3, 1 / 3])) and not np.delete(out, 1, axis=0).any()
+
+
+def test_slots_are_hashed_in_tasks_for_many_rows_at_once(spark):
+    schema = "review_id string, aspect_idx int, aspect_category int, label int, chars array<string>, subwords array<string>, words array<string>"
+    made = spark.createDataFrame([("a", 0, 0, 1, ["x", "y", "x", "y"], ["xy"], ["xy", "z"]), ("b", 0, 0, 1, ["x", "y"], [], ["z"]), ("c", 0, None, 1, [], [], [])], schema)
+    slots = passes.prepared(made.coalesce(1), 1 << 20)
+    assert "zip_with" not in slots._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.review_id: r.slots for r in slots.collect()}
+    # xy, yx, xy, y; the subword; two words; the aspect. The other row shares a pair, the last character, a word and the aspect.
+    assert len(found["a"]) == 8 and found["a"][0] == found["a"][2] and len(set(found["a"])) == 7
+    assert found["b"] == [found["a"][0], found["a"][3], found["a"][6], found["a"][7]] and found["c"] == []

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kuchikomi.domain import SEQUENCE_LENGTH
+from kuchikomi.domain import ASPECTS, SEQUENCE_LENGTH
 from kuchikomi.functions.scores import aspect_index
 from kuchikomi.functions.text import char_length
-from kuchikomi.functions.tokens import WORD, attention, char_ids, char_tokens, leading_words, padded, shown, word_ids, word_tokens
+from kuchikomi.functions.tokens import SOON_WORD, attention, char_ids, char_tokens, leading_words, padded, shown, word_ids, word_tokens
 from kuchikomi.operators.corpus import aspect_corpus
 from kuchikomi.operators.vocabulary import encode
 
@@ -27,7 +27,7 @@ def token_counts(df: DataFrame, column: str, vocabulary: DataFrame, words: Words
         *df.columns,
         char_length(F.col(column)).alias("character"),
         F.size("subword_pieces").cast("bigint").alias("subword"),
-        (F.regexp_count(column, F.lit(WORD)) if words is word_tokens else F.size(words(F.col(column)))).cast("bigint").alias("word"),
+        (F.regexp_count(column, F.lit(SOON_WORD)) if words is word_tokens else F.size(words(F.col(column)))).cast("bigint").alias("word"),
     )
 
 
@@ -128,15 +128,23 @@ def corpus_features(
     )
     keep = ["review_id", "_chars", "_words", "_subwords"]
     rows = aspect_corpus(cut, keep=keep, **corpus)
-    bracket = rows.withColumn("_bracket", conditioned_text(F.col("aspect"), F.lit("")))
-    encoded = encode(bracket, "_bracket", vocabulary, prefix="bracket")
+    # Every aspect's bracket is encoded once; a column of the unpivot names one of these aspects.
+    brackets = rows.sparkSession.createDataFrame([(a,) for a in ASPECTS], "aspect string").withColumn("_bracket", conditioned_text(F.col("aspect"), F.lit("")))
+    bracket_ids = encode(brackets, "_bracket", vocabulary, prefix="bracket").select(
+        "aspect",
+        aspect_index(F.col("aspect")).alias("aspect_idx"),
+        char_ids(char_tokens(F.col("_bracket"))).alias("_bracket_chars"),
+        word_ids(words(F.col("_bracket"))).alias("_bracket_words"),
+        "bracket_ids",
+    )
+    encoded = rows.join(F.broadcast(bracket_ids), "aspect")
     return encoded.select(
         "review_id",
-        aspect_index(F.col("aspect")).alias("aspect_idx"),
+        "aspect_idx",
         F.col("sentiment_label").alias("label"),
         *feature_columns(
-            F.concat(char_ids(char_tokens(F.col("_bracket"))), "_chars"),
-            F.concat(word_ids(words(F.col("_bracket"))), "_words"),
+            F.concat("_bracket_chars", "_chars"),
+            F.concat("_bracket_words", "_words"),
             F.concat("bracket_ids", "_subwords"),
             length,
         ),

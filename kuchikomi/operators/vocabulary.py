@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kuchikomi.domain import SPECIAL_PIECES, SUBWORD_VOCABULARY, UNKNOWN_ID
-from kuchikomi.functions.tokens import SEGMENT, char_tokens
+from kuchikomi.functions.tokens import SOON_SEGMENT, char_tokens
 
 MAX_PIECE_CHARS = 6
 CHARS_AT_ONCE, MOST_CELLS = 1 << 19, 1 << 22
@@ -19,7 +19,7 @@ CHARS_AT_ONCE, MOST_CELLS = 1 << 19, 1 << 22
 
 def segments(texts: DataFrame, column: str) -> DataFrame:
     """Distinct script runs and single other characters with their occurrences."""
-    found = texts.select(F.explode(F.regexp_extract_all(column, F.lit(SEGMENT), F.lit(0))).alias("segment"))
+    found = texts.select(F.explode(F.regexp_extract_all(column, F.lit(SOON_SEGMENT), F.lit(0))).alias("segment"))
     return found.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
 
 

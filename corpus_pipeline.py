@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from kuchikomi.llm import bpe, decontamination, jaccard_join, quality, toxicity
 from kuchikomi.llm.rows import stored, table
 
+#: Words and pieces a worker's tokenizer remembers a generation: fewer than alone, for workers also hold what stages before left.
+MOST_KEPT = 50_000
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -37,7 +40,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row that is left, with the digests that prove the round trip."""
-    return bpe.encoded(docs, columns=("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+    return bpe.encoded(docs, columns=("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"), most_kept=MOST_KEPT)
 
 
 STAGES = [

@@ -26,7 +26,8 @@ MOST_KEPT = 100_000
 
 
 class Encoder:
-    def __init__(self, text: str):
+    def __init__(self, text: str, most_kept: int = MOST_KEPT):
+        self.most_kept = most_kept
         self.vocabulary = v = Vocabulary(text)
         self.left = np.array([p[0] if p else -1 for p in v.parts], dtype=np.int64)
         self.right = np.array([p[1] if p else -1 for p in v.parts], dtype=np.int64)
@@ -118,7 +119,7 @@ class Encoder:
         for i in range(0, len(values), 64):
             split = [v.encode("utf-8", "replace").split() for v in values[i : i + 64]]
             for memory in (self.words, self.ids):
-                if len(memory[0]) > MOST_KEPT:
+                if len(memory[0]) > self.most_kept:
                     memory[:] = [{}, memory[0]]
             ids = self.ids[0]
             missing = {c for chunks in split for c in chunks if c not in ids}
@@ -133,16 +134,17 @@ class Encoder:
 RESULT = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded string, decoded_sha256 string"
 
 
-def encoded(docs: DataFrame, path: str | None = None, columns: tuple[str, ...] = ("doc_id", "ids", "decoded")) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, columns: tuple[str, ...] = ("doc_id", "ids", "decoded"), most_kept: int = MOST_KEPT) -> DataFrame:
     """The chosen columns of ``RESULT`` for every whole text; ``ids`` are little-endian unsigned 32-bit integers.
 
-    Only what is chosen leaves the task, so digests can be had without moving ids or decoded texts.
+    Only what is chosen leaves the task, so digests can be had without moving ids or decoded texts. ``most_kept`` bounds what
+    a worker remembers, never what is encoded.
     """
     shared = shared_file(docs.sparkSession, path)
     kinds = dict(c.split() for c in RESULT.split(", "))
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        encoder = kept(shared, "encoder", Encoder)
+        encoder = kept(shared, "encoder", lambda text: Encoder(text, most_kept))
         ids = encoder.encode(batch.text.tolist())
         whole = {
             "doc_id": lambda: batch.doc_id,

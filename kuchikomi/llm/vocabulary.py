@@ -70,20 +70,25 @@ def kept(shared, name: str, build):
     return shared.value[name]
 
 
+def _library(text: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(text)
+
+
 class Vocabulary:
     """Symbols are numbered by birth: single ones first, then every merge's product in order of priority."""
 
     def __init__(self, text: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
+        self.text = text
         data = json.loads(text)
         model = data["model"]
         if model["type"] != "BPE" or data.get("decoder") is not None or model.get("ignore_merges") or model.get("dropout"):
             raise ValueError("only plain BPE files without a decoder are supported")
-        self.library = Tokenizer.from_str(text)
-        self.library.no_truncation()
-        self.library.no_padding()
+        # Normalizer and pre-tokenizer alone, for the library's own tables are several times as large as those made here.
+        bare = {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None}
+        self.cutter = _library(json.dumps(data | bare))
         self.suffix = model.get("end_of_word_suffix") or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         products = {a + b for a, b in merges}
@@ -120,9 +125,17 @@ class Vocabulary:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                out.extend(word for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)))
+                out.extend(word for word, _ in self.cutter.pre_tokenizer.pre_tokenize_str(self.cutter.normalizer.normalize_str(part)))
         return out
 
+    @cached_property
+    def library(self):
+        """The whole file as the library reads it, for those that encode with it."""
+        library = _library(self.text)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
     def symbols(self, word: str) -> list[int]:
         number = self.number
         return [number[c] for c in word[:-1]] + [number[word[-1] + self.suffix]]

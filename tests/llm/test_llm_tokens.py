@@ -176,3 +176,14 @@ def test_python_gets_small_batches(spark):
     seen = per_row(spark.range(0, 5000, 1, 1), lambda b: b.assign(id=len(b)), "id long")
     assert int(spark.conf.get(ARROW_ROWS)) == ROWS_AT_ONCE and seen.distinct().count() == 1
     spark.conf.unset(ARROW_ROWS)
+
+
+def test_encoder_holds_no_second_vocabulary(file, library, fuzz):
+    """Cutting needs the file's normalizer and pre-tokenizer alone, and what is remembered stays within its bound."""
+    encoder = bpe.Encoder(file, most_kept=20)
+    ids = [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(fuzz * 2)]
+    assert ids == [ids_of(library, t) for t in fuzz * 2]
+    assert "library" not in vars(encoder.vocabulary) and encoder.vocabulary.cutter.get_vocab_size() == 0
+    # Two generations; a part of 64 texts is always held whole.
+    fresh = max(len({c for t in fuzz[i : i + 64] for c in t.encode("utf-8", "replace").split()}) for i in range(0, len(fuzz), 64))
+    assert all(len(memory) <= 20 + 2 * fresh for memory in encoder.ids)

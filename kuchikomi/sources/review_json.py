@@ -11,6 +11,7 @@ from kuchikomi.functions.text import strip
 
 # Every field as text: a string as it is, anything else as its JSON.
 _AS_TEXT = T.StructType([*[T.StructField(f.name, T.StringType()) for f in RAW_REVIEW.fields], T.StructField(CORRUPT, T.StringType())])
+_MARKED = T.StructType([*_AS_TEXT.fields[:-1], T.StructField("mark", T.StringType())])
 _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
@@ -19,6 +20,22 @@ def decoded(text: Column) -> Column:
     return F.from_json(text, _AS_TEXT, _OPTIONS)
 
 
+def marked(text: Column) -> Column:
+    """``text`` read as the first of two elements, the other a mark made from the text itself: one pass gives fields and end."""
+    return F.from_json(F.concat(F.lit("["), text, F.lit(',{"mark":"'), _mark(text), F.lit('"}]')), T.ArrayType(_MARKED))
+
+
+def _mark(text: Column) -> Column:
+    return F.xxhash64(text).cast("string")
+
+
+def alone(text: Column, elements: Column) -> Column:
+    """The fields of ``text``, whose ``marked`` elements are given, if it is one JSON object and nothing else, null otherwise."""
+    bare = strip(text)
+    whole = (F.size(elements) == 2) & (F.try_element_at(elements, F.lit(2))["mark"] == _mark(text))
+    return F.when(bare.startswith("{") & bare.endswith("}") & whole, F.try_element_at(elements, F.lit(1)))
+
+
 def is_object(text: Column, fields: Column) -> Column:
     """Whether ``text``, whose ``decoded`` fields are given, is one JSON object and nothing else.
 

@@ -36,13 +36,13 @@ def parse_review_lines(lines: DataFrame) -> DataFrame:
     """Decode ``(file_name, line)``; a line that is not one JSON object keeps its text in the corrupt column, and nothing else.
 
     A field of an unexpected type is converted or becomes null; it does not cost the review. Blank lines are
-    dropped before anything is counted.
+    dropped before anything is counted. Each line is read once: a filter on the result does not pass the ``explode`` to read it again.
     """
     review, line = F.col("_review"), F.col("line")
     return (
         lines.where(strip(line) != "")
-        .select(hotel_of_file(F.col("file_name")).alias("hotel_id"), "line", review_json.decoded(line).alias("_review"))
-        .select("hotel_id", "line", F.when(review_json.is_object(line, review), review).alias("_review"))
+        .select(hotel_of_file(F.col("file_name")).alias("hotel_id"), "line", F.explode(F.array(review_json.marked(line))).alias("_elements"))
+        .select("hotel_id", "line", review_json.alone(line, F.col("_elements")).alias("_review"))
         .select("hotel_id", *review_json.typed(review), F.when(review.isNull(), line).alias(CORRUPT))
     )
 

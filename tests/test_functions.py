@@ -86,3 +86,10 @@ def test_padding_and_mask(spark):
 def test_predicted_class_takes_first_on_ties_and_ignores_fourth(spark):
     rows = spark.createDataFrame([([0.1, 0.5, 0.5, 9.0],), ([1.0, 0.0, 0.0, 7.0],), ([-3.0, -2.0, -1.0],)], "l array<double>")
     assert [r.v for r in rows.select(predictions.predicted_class(F.col("l")).alias("v")).collect()] == [1, 0, 2]
+
+
+def test_clean_text_leaves_single_spaces_alone(values):
+    """A single space between words is no match of the pattern, so nothing is replaced there; all other runs are."""
+    samples = [" a b ", "a \tb", "a\t b", "a  b", "　a b　 c", "​a ​ b", "é\xa0ñ \xa0~", " ", "  \n"]
+    assert values(text.clean_text(F.col("t")), samples) == [" ".join(t.split()) for t in samples]
+    assert values(F.regexp_count(F.col("t"), F.lit(text._RUN)), samples) == [0, 1, 1, 1, 2, 0, 2, 0, 1]

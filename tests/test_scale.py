@@ -97,3 +97,15 @@ def test_equal_rows_of_a_review_are_not_sorted(spark):
     ranked = plan(duplicates._one_row_per_review(rows, "review_id", None, 50))
     assert "HashAggregate" in ranked
     assert tuple(duplicates.duplicate_summary(rows).first()) == (1, 1)
+
+
+def test_lines_are_read_once(spark):
+    """Accepting lines does not read them again below the filter, and the second element tells where an object ends."""
+    good = '{"id":"1","comment":"c","scores":[{"code":"ROOM","score":3}]}'
+    bad = [good + " x", good + good, good + "," + good, good + "] " + good, good[:-3], good + ',{"mark":"1"}] {}', "[" + good + "]", "5"]
+    lines = spark.createDataFrame([("hotel_a_reviews.jsonl", t) for t in [good, f" {good} ", "{}", *bad]], "file_name string, line string")
+    parsed = review_lines.parse_review_lines(lines)
+    assert [(r.id, r.comment) for r in review_lines.accepted(parsed).collect()] == [("1", "c"), ("1", "c"), (None, None)]
+    assert [r.line for r in review_lines.rejected(parsed).collect()] == bad
+    plan = review_lines.accepted(parsed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructField(overallScore,") == 1

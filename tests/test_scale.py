@@ -109,3 +109,10 @@ def test_lines_are_read_once(spark):
     assert [r.line for r in review_lines.rejected(parsed).collect()] == bad
     plan = review_lines.accepted(parsed)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("StructField(overallScore,") == 1
+
+
+def test_orders_are_dealt_by_their_rows(spark, tmp_path):
+    """Orders are narrow: 8 MB of them are far more rows than of other tables, so their partitions are cut sooner."""
+    spark.range(3_000_000).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    orders = views.table(spark, str(tmp_path), "orders")
+    assert orders.rdd.getNumPartitions() > views.FIXTURE_PARTITIONS and orders.count() == 3_000_000

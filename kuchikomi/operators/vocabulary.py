@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kuchikomi.domain import SPECIAL_PIECES, SUBWORD_VOCABULARY, UNKNOWN_ID
 from kuchikomi.functions.tokens import SOON_SEGMENT, char_tokens
+from kuchikomi.session import bounded_batches
 
 MAX_PIECE_CHARS = 6
 CHARS_AT_ONCE, MOST_CELLS = 1 << 19, 1 << 22
@@ -187,6 +188,7 @@ def encode(
     The pieces of a text joined together are the text; a null text has none. With ``length``, the text is read and cut up
     to that many pieces only. The vocabulary is bounded by construction and is broadcast to the tasks.
     """
+    bounded_batches(df.sparkSession)
     known = {r.piece: r.id for r in _pieces(vocabulary).where("length(piece) > 0").collect()}  # bounded by the size
     shared = df.sparkSession.sparkContext.broadcast(known)
     text = F.col(column)

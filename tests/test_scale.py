@@ -5,11 +5,14 @@ from __future__ import annotations
 import inspect
 
 import pytest
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from kuchikomi.operators import classifier, duplicates
+from kuchikomi.operators.vocabulary import encode
 from kuchikomi.plans import views
 from kuchikomi.plans.catalogue import QUERIES, collection, evaluation
+from kuchikomi.session import BATCH_LIMITS
 from kuchikomi.sources import review_lines, sinks
 
 
@@ -116,3 +119,44 @@ def test_orders_are_dealt_by_their_rows(spark, tmp_path):
     spark.range(3_000_000).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     orders = views.table(spark, str(tmp_path), "orders")
     assert orders.rdd.getNumPartitions() > views.FIXTURE_PARTITIONS and orders.count() == 3_000_000
+
+
+@pytest.fixture
+def kept_in_memory(spark, monkeypatch):
+    """Columns of every table that a query keeps in memory."""
+    frame, columns = type(spark.range(0)), set()
+    persist = frame.persist
+
+    def seen(self, level=StorageLevel.MEMORY_AND_DISK_DESER):
+        columns.update(self.columns if level.useMemory else ())
+        return persist(self, level)
+
+    monkeypatch.setattr(frame, "persist", seen)
+    return columns
+
+
+WIDE = {"comment", "text", "chars", "subwords", "words", "slots", "features"}
+
+
+def test_texts_tokens_and_vectors_of_the_classifier_are_not_kept_in_memory(spark, folder, kept_in_memory, monkeypatch):
+    regression = classifier.regression
+    monkeypatch.setattr(classifier, "regression", lambda reg_param, weight, max_iter: regression(reg_param, weight, 2))
+    found = {r.fact: r.value for r in QUERIES["classifier_report"].run(spark, folder).collect()}
+    assert "predicted" in kept_in_memory and not kept_in_memory & WIDE
+    assert found["scored"] == sum(v for k, v in found.items() if k.startswith("held_out_")) == 40
+    assert found["reloaded_equals_fitted"] == found["best_of_grid"] == 1.0
+
+
+@pytest.mark.parametrize("setting, most, less", [("maxRecordsPerBatch", ["10000", "0"], "7"), ("maxBytesPerBatch", ["64m", "2147483647"], "1k")])
+def test_batches_of_texts_are_bounded(spark, setting, most, less):
+    setting = f"spark.sql.execution.arrow.{setting}"
+    vocabulary = spark.createDataFrame([(4, "a", 1)], "id int, piece string, n bigint")
+    texts = spark.createDataFrame([("ab",), (None,)], "comment string")
+    before = spark.conf.get(setting)
+    try:
+        for given, expected in [*((m, str(BATCH_LIMITS[setting])) for m in most), (less, less)]:
+            spark.conf.set(setting, given)
+            assert [r.subword_ids for r in encode(texts, "comment", vocabulary).collect()] == [[4, 1], None]
+            assert spark.conf.get(setting) == expected
+    finally:
+        spark.conf.set(setting, before)

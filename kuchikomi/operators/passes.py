@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from kuchikomi.domain import LABELS
 from kuchikomi.operators.evaluation import macro_f1, with_predictions
-from kuchikomi.session import shuffle_partitions
+from kuchikomi.session import bounded_batches, shuffle_partitions
 
 SLOTS, PASSES, STEP = 1 << 14, 5, 0.5
 STATE = "slot int, " + ", ".join(f"w{k} double" for k in LABELS)
@@ -66,6 +66,7 @@ def slots_of(examples: DataFrame, slots: int = SLOTS) -> Column:
 
 def prepared(examples: DataFrame, slots: int = SLOTS) -> DataFrame:
     """What passes and scores read of ``classifier.examples``."""
+    bounded_batches(examples.sparkSession)
     kept = [c for c in ("review_id", "aspect_idx", "label", "weight") if c in examples.columns]
     return examples.select(*kept, F.coalesce(slots_of(examples, slots), F.array().cast("array<int>")).alias("slots"))
 
@@ -89,6 +90,7 @@ def _chances(weights: np.ndarray, at: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def one_pass(train: DataFrame, weights: np.ndarray, step: float) -> np.ndarray:
     """The weights after every task went through its rows once; a ``weight`` column scales a row's steps."""
+    bounded_batches(train.sparkSession)
     shared, columns = train.sparkSession.sparkContext.broadcast(weights), [c for c in ("slots", "label", "weight") if c in train.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +121,7 @@ def one_pass(train: DataFrame, weights: np.ndarray, step: float) -> np.ndarray:
 
 def scored(rows: DataFrame, weights: np.ndarray) -> DataFrame:
     """Predictions as ``(review_id, logits, aspect_idx, label, predicted)``."""
+    bounded_batches(rows.sparkSession)
     shared, kinds = rows.sparkSession.sparkContext.broadcast(weights), rows.select("review_id", "aspect_idx", "label").schema
     columns = [f.name for f in kinds]
 

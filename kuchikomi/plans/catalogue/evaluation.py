@@ -147,8 +147,8 @@ def training_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted = sampling.inverse_weights(classifier.examples(split.where(F.col("split") == "train"), vocabulary), "label")
     # Weights of one on average: inverse class sizes times a third of all rows.
     rows = weighted.agg(F.count(F.lit(1))).scalar()
-    train = passes.prepared(weighted.withColumn("weight", F.col("weight") * rows / 3)).persist()
-    held_out = passes.prepared(classifier.examples(split.where(F.col("split") == "val"), vocabulary)).persist()
+    train = passes.prepared(weighted.withColumn("weight", F.col("weight") * rows / 3)).persist(StorageLevel.DISK_ONLY)
+    held_out = passes.prepared(classifier.examples(split.where(F.col("split") == "val"), vocabulary)).persist(StorageLevel.DISK_ONLY)
     best, reached = passes.train_in_passes(train, held_out, path)
     again = [evaluation.macro_f1(passes.scored(held_out, passes.stored_state(spark, path, n))).first()["macro_f1"] for n in range(1, len(reached) + 1)]
     counts = held_out.groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("value"))

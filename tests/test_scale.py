@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import inspect
 
+import numpy as np
 import pytest
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from kuchikomi.operators import classifier, duplicates
+from kuchikomi.operators import classifier, duplicates, passes
 from kuchikomi.operators.vocabulary import encode
 from kuchikomi.plans import views
 from kuchikomi.plans.catalogue import QUERIES, collection, evaluation
@@ -160,3 +161,17 @@ def test_batches_of_texts_are_bounded(spark, setting, most, less):
             assert spark.conf.get(setting) == expected
     finally:
         spark.conf.set(setting, before)
+
+
+def test_slots_of_training_rows_are_not_kept_in_memory(spark, folder, kept_in_memory, monkeypatch):
+    train = passes.train_in_passes
+    monkeypatch.setattr(passes, "train_in_passes", lambda *tables: train(*tables, passes=1))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    found = {r.fact: r.value for r in QUERIES["training_passes"].run(spark, folder).collect()}
+    assert not kept_in_memory & WIDE and found["states_agree"] == found["best_is_highest"] == 1.0
+    assert sum(v for k, v in found.items() if k.startswith("held_out_")) == 40
+    one = spark.createDataFrame([("a", 0, 0, [1], 1.0)], "review_id string, aspect_idx int, label int, slots array<int>, weight double")
+    for read in (lambda: passes.one_pass(one, np.zeros((8, 3)), 0.1), lambda: passes.scored(one, np.zeros((8, 3)))):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+        read()
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(2 << 20)
